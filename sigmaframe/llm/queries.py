@@ -28,9 +28,30 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import filter_quality
+
+    return filter_quality(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
+    "op8_warc": op8_warc,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -131,3 +131,43 @@ class Texts:
 def small_batches(spark) -> None:
     """Keeps Arrow batches of text small; sizes are bounded again inside each operator."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def shared_folder(spark) -> str:
+    """A new folder that the driver and all executors can reach: under spark.checkpoint.dir, or in tests a local one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = getattr(spark, "_llm_shared", None) or f"file://{tempfile.mkdtemp(prefix='llm-shared-')}"
+        spark._llm_shared = base
+    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+
+
+def stored(df, folder: str, name: str):
+    """Writes df as Parquet in a shared folder and reads it back: cuts lineage and survives lost executors."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class HashArray:
+    """A sorted array of distinct 64-bit hashes; positions are found through an index by leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, min(24, int(len(keys)).bit_length() + 1))
+        self.shift = U64(64 - bits)
+        count = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        self.padded = np.append(keys, U64(0xFFFFFFFFFFFFFFFF))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each wanted hash and whether it is there."""
+        at = self.start[(wanted >> self.shift).astype(np.int64)]
+        behind = np.flatnonzero(self.padded[at] < wanted)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.padded[at[behind]] < wanted[behind]]
+        return at, (self.padded[at] == wanted) & (at < len(self.keys))
