@@ -34,6 +34,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import report
+
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
 }
