@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import to_arrays, to_rows
+from ..shipping import ship
 
 
 def per_series(df: DataFrame, keys: Sequence[str], position: str, values: Sequence[str], run: Callable[..., list[list[np.ndarray]]], out: Sequence[str]) -> DataFrame:
@@ -17,6 +18,7 @@ def per_series(df: DataFrame, keys: Sequence[str], position: str, values: Sequen
 
     A series is one row of arrays; series are dealt over tasks by the grouping's shuffle.
     """
+    ship(df.sparkSession)
     arrays = to_arrays(df, keys, position, values)
     n, names = len(keys), list(out)
 
@@ -53,6 +55,7 @@ def per_matrix(a: DataFrame, run: Callable[..., tuple[int, dict[str, np.ndarray]
 
     Rows (m, info, factor, i, j, v); a matrix whose info is not 0 has one row without factor and value.
     """
+    ship(a.sparkSession)
     cells = lambda d, name: d.groupBy("m").agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))).alias(name))
     packed = cells(a, "a") if b is None else cells(a, "a").join(cells(b, "b"), "m")
 

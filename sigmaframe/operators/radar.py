@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .batches import padded, per_series, unpadded
 
 
@@ -181,6 +182,7 @@ def orthonormal(basis: DataFrame) -> DataFrame:
         ii, cc = np.indices(q.shape)
         return pa.table({"c": pa.array(cc.ravel().astype(np.int32)), "i": pa.array(ii.ravel().astype(np.int32)), "u": pa.array(q.ravel())})
 
+    ship(basis.sparkSession)
     return basis.select(F.lit(0).alias("_one"), F.col("c").cast("int").alias("c"), F.col("i").cast("int").alias("i"), F.col("u").cast("double").alias("u")).groupBy("_one").applyInArrow(run, "c int, i int, u double")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.filtering import Biquad, run_sections
 from ..operators.radar import run_nlms
+from ..shipping import ship
 
 OUTPUT = "key string, i long, v double"
 
@@ -29,6 +30,7 @@ def _samples(frames, last: int) -> pd.DataFrame:
 
 
 def _keyed(stream: DataFrame, key: str, run, state: str) -> DataFrame:
+    ship(stream.sparkSession)
     rows = stream.selectExpr(f"cast(`{key}` as string) as key", *[c for c in stream.columns if c != key])
     return rows.groupBy("key").applyInPandasWithState(run, OUTPUT, state, "append", GroupStateTimeout.NoTimeout)
 
