@@ -4,7 +4,7 @@ The model is a character 5-gram model with modified Kneser-Ney smoothing, one fo
 Spark counts the n-grams of all texts; probabilities come from joins between the count tables of
 neighbouring orders. Scoring reads a sorted array of n-gram hashes and their log-probabilities. A
 text is rejected if its perplexity lies outside its language's band: the median of the logarithms
-plus or minus a multiple of their robust spread.
+plus or minus a multiple of their robust spread, wider for short texts by their chance error.
 
 Nulls count as empty texts, have no words and fail the base rules; a null language is a language of
 its own. Repeated rows are counted and scored each on its own. Texts of fewer than five characters
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, HashArray, Rolling, Texts, mix, shared_folder, small_batches, stored
+from .textkit import U64, HashArray, Rolling, Texts, fewer_tasks, mix, shared_folder, small_batches, stored
 
 ORDER = 5
 #: Largest number of n-grams whose hashes and scores (12 bytes each) are broadcast; beyond it, scoring joins.
@@ -29,7 +29,9 @@ BROADCAST_GRAMS = 4_000_000
 TASK_GRAMS = 1_000_000
 SLICE_BYTES = 1 << 20
 #: Band in robust standard deviations of log-perplexity below and above the median, and the least deviation.
-BELOW, ABOVE, LEAST_SPREAD = 8.0, 8.0, 0.03
+BELOW, ABOVE, LEAST_SPREAD = 3.2, 2.6, 0.03
+#: Words at which the chance error of a text's log-perplexity equals the deviation between texts; bands widen for shorter texts.
+NOISE_WORDS = 150
 SYMBOLS = b"#*$%&|<>"
 
 BASE_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -159,14 +161,15 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def kneser_ney(counts: DataFrame, folder: str, order: int = ORDER) -> DataFrame:
     """(lang, gram, logp) of the highest order from (lang, gram, n): interpolated, with three discounts an order.
 
     Lower orders count the distinct characters seen before an n-gram instead of its occurrences.
     """
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count("*").alias("n"))
+        # each table is written once; its few rows then go through few tasks
+        levels[k] = stored(levels[k + 1].groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count("*").alias("n")), folder, f"level{k}")
     lower = None
     for k in range(1, order + 1):
         of = [F.sum(F.when(F.col("n") == j, 1).otherwise(0)).cast("double").alias(f"t{j}") for j in range(1, 5)]
@@ -186,7 +189,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             below = F.col("l_p")
         p = (F.greatest(F.col("n") - cut, F.lit(0.0)) + (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) * below) / F.col("total")
         if k < order:
-            lower = x.select(F.col("lang").alias("l_lang"), F.col("gram").alias("l_gram"), p.alias("l_p"))
+            lower = stored(x.select(F.col("lang").alias("l_lang"), F.col("gram").alias("l_gram"), p.alias("l_p")), folder, f"p{k}")
     return x.select("lang", "gram", F.log(p).alias("logp"))
 
 
@@ -254,16 +257,18 @@ def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     small_batches(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = stored(count_grams(rows, "text", "lang"), folder, "counts")
-    model = stored(_gram_keys(kneser_ney(counts)), folder, "model")
+    counts = stored(count_grams(fewer_tasks(rows), "text", "lang"), folder, "counts")
+    model = stored(_gram_keys(kneser_ney(counts, folder)), folder, "model")
     scored = stored(_perplexities(rows, model, "text", "lang").drop("text"), folder, "scores")
     middle = scored.where("log_ppl is not null").groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST_SPREAD))
-    bands = middle.select(F.col("lang").alias("b_lang"), (F.col("q")[1] - below * spread).alias("band_low"), (F.col("q")[1] + above * spread).alias("band_high"))
+    bands = middle.select(F.col("lang").alias("b_lang"), F.col("q")[1].alias("middle"), spread.alias("spread"))
+    wider = F.sqrt(1 + NOISE_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.col("log_ppl").isNull() | F.col("log_ppl").between(F.col("band_low"), F.col("band_high"))
     return (
         scored.join(bands, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
+        .withColumns({"band_low": F.col("middle") - below * F.col("spread") * wider, "band_high": F.col("middle") + above * F.col("spread") * wider})
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & inside)
         .select("doc_id", *BASE_FIELDS, "base_failed", "kept", "lang", "log_ppl", "band_low", "band_high")

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ..shipping import ship
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
@@ -129,8 +131,20 @@ class Texts:
 
 
 def small_batches(spark) -> None:
-    """Keeps Arrow batches of text small; sizes are bounded again inside each operator."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Keeps batches of text small; sizes are bounded again inside each operator. Also ships the package."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+
+
+#: Bytes of a source (as stored) that one task should read at least, where what tasks send depends on their number.
+TASK_BYTES = 16 << 20
+
+
+def fewer_tasks(df):
+    """df in larger partitions if its source is dealt over many small ones; never in fewer than the cluster has cores."""
+    stored_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-stored_bytes // TASK_BYTES), 1_000_000)))
 
 
 def shared_folder(spark) -> str:
