@@ -41,12 +41,18 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         .write.parquet(f"{path}/records")
     )
     records = spark.read.parquet(f"{path}/records")
-    first = F.max(F.struct("page_id", "record")).alias("of")
-    records.groupBy("digest").agg(first).select("digest", F.col("of.page_id").alias("of_page"), F.col("of.record").alias("of_record")).write.parquet(f"{path}/owners")
+    each = records.groupBy("digest", "page_id").agg(F.max("record").alias("record"), F.count("*").alias("rows"))
+    first = each.groupBy("digest").agg(F.max(F.struct("page_id", "record", "rows")).alias("of"))
+    first.select("digest", *(F.col(f"of.{a}").alias(b) for a, b in (("page_id", "of_page"), ("record", "of_record"), ("rows", "of_rows")))).write.parquet(f"{path}/owners")
     owners = spark.read.parquet(f"{path}/owners").withColumnRenamed("digest", "of_digest")
 
     same = F.col("digest") == F.col("of_digest")
-    rows.join(owners, same & F.col("page_id").eqNullSafe(F.col("of_page"))).select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    owned = rows.join(owners, same & F.col("page_id").eqNullSafe(F.col("of_page"))).select("digest", "payload", "of_rows")
+    if owners.where("of_rows > 1").isEmpty():
+        payloads = owned  # no row repeats both id and payload: one row a digest already
+    else:
+        payloads = owned.where("of_rows = 1").union(owned.where("of_rows > 1").dropDuplicates(["digest"]))
+    payloads.select("digest", "payload").write.parquet(f"{path}/payloads")
 
     revisit = (F.col("bytes") >= min_bytes) & (F.col("record") != F.col("of_record"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
