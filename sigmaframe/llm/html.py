@@ -45,7 +45,7 @@ DIGIT = re.compile(r"\d")
 PATH_SLOTS, WORD_SLOTS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 20, 12, 10, 20
 MOST_PATH, MOST_WORDS = 8, 32
 #: Generated pages and passes of the training, and its seed.
-TRAINING_PAGES, PASSES, SEED = 1800, 11, 7
+TRAINING_PAGES, PASSES, SEED = 2400, 10, 7
 
 
 class Block:
@@ -406,11 +406,11 @@ class PageMaker:
     def paragraph(self) -> str:
         r, kind = self.r, self.r.random()
         text = self.marked(self.inline(self.prose(1, 140)))
-        if kind < 0.72:
+        if kind < 0.62:
             return f"<p>{text}" + ("</p>" if self.maybe(0.9) else "")
-        if kind < 0.78:
+        if kind < 0.68:
             return f"<p><b>{text}<br>"
-        if kind < 0.84:
+        if kind < 0.75:
             tag = r.choice(("h2", "h3", "h4"))
             return f"<{tag}>{self.marked(self.prose(1, 8))}</{tag}>"
         if kind < 0.9:
