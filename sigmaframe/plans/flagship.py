@@ -21,7 +21,7 @@ def ambiguity(signals: DataFrame, strategy: str = "relational") -> DataFrame:
     return caf(ref, surv.unionByName(early), ["series"], BINS, START, STEP, RATE, RANGES, strategy)
 
 
-def peaks(signals: DataFrame, top: int = 3, strategy: str = "relational") -> DataFrame:
+def peaks(signals: DataFrame, top: int = 3, strategy: str = "arrow") -> DataFrame:
     """The strongest detections of each series' ambiguity map."""
     found = ca_cfar_2d(ambiguity(signals, strategy), (0, 1), (1, 2), 1.5, ["series"]).where("det = 1")
     order = Window.partitionBy("series").orderBy(F.round("v", 6).desc(), "d", "r")
