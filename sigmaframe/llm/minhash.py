@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,9 @@ SLICE_BYTES = 1 << 20
 #: Pairs that are verified together.
 GROUP_PAIRS = 2000
 TABLE = 1 << 16
+#: Shingles that are sampled together.
+CACHED = 1 << 14
+_MULTIPLIERS = mix(np.arange(1, SAMPLES + 1, dtype=U64)) | U64(1)
 
 
 def _random_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +72,7 @@ def shingles(texts: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray,
 
 
 def _whole(texts: Texts) -> np.ndarray:
-    return Rolling(texts.data).of(texts.offsets[:-1], texts.offsets[1:])
+    return np.array([xxhash.xxh3_64_intdigest(texts.data[a:b]) for a, b in zip(texts.offsets[:-1], texts.offsets[1:])], U64)
 
 
 def _block_shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,19 +129,26 @@ def samples(own: np.ndarray, key: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     gamma, log_gamma, uniform = _TABLES
     heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     out = np.zeros((len(heads), SAMPLES), U64)
-    if not len(heads):
-        return own[heads], out
-    size = np.diff(np.append(heads, len(own)))
-    log_weight = np.log(weight).astype(np.float32)
-    for k in range(SAMPLES):
-        h = mix(key + U64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        r, b = gamma[h & U64(TABLE - 1)], uniform[(h >> U64(16)) & U64(TABLE - 1)]
-        level = np.floor(log_weight / r + b)
-        rate = log_gamma[(h >> U64(32)) & U64(TABLE - 1)] - r * (level + 1 - b)
-        least = np.flatnonzero(rate == np.repeat(np.minimum.reduceat(rate, heads), size))
-        # of equal rates, the last in order of the hash
-        drawn = h ^ mix((level.astype(np.int64)).view(U64))
-        out[np.searchsorted(heads, least, "right") - 1, k] = drawn[least]
+    edges = np.append(heads, len(own))
+    at = 0
+    while at < len(heads):
+        # whole texts, as many as fit a processor's cache
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + CACHED, "right")) - 1)
+        some = slice(edges[at], edges[to])
+        k_some, size = key[some], np.diff(edges[at : to + 1])
+        first = edges[at:to] - edges[at]
+        log_weight = np.log(weight[some]).astype(np.float32)
+        for k in range(SAMPLES):
+            h = k_some * _MULTIPLIERS[k]
+            which = (h >> U64(48)).view(np.int64)
+            r, b = gamma[which], uniform[((h >> U64(32)) & U64(TABLE - 1)).view(np.int64)]
+            level = np.floor(log_weight / r + b)
+            rate = log_gamma[((h >> U64(16)) & U64(TABLE - 1)).view(np.int64)] - r * (level + (1 - b))
+            least = np.flatnonzero(rate == np.repeat(np.minimum.reduceat(rate, first), size))
+            # of equal rates, the last in order of the hash
+            drawn = k_some[least] ^ mix(level[least].astype(np.int64).view(U64))
+            out[at + np.searchsorted(first, least, "right") - 1, k] = drawn
+        at = to
     return own[heads], mix(out)
 
 
@@ -314,6 +325,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: one with the class's smallest id."""
-    gone = classes(docs, id_col, text_col, **options).where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """docs with one document of each class, that with the class's smallest id; rows that repeat an id and text stay once."""
+    found = classes(docs, id_col, text_col, **options)
+    number = F.col(id_col).cast("long")
+    gone = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone")).distinct()
+    left = docs.join(gone, number == F.col("_gone"), "left_anti")
+    twice = found.where(F.col("words") & (F.col("id") == F.col("class_id"))).groupBy(F.col("id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice")
+    if twice.isEmpty():
+        return left
+    repeated = left.join(twice, number == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(twice, number == F.col("_twice"), "left_anti").unionByName(repeated)
