@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Texts, small_batches, stored
+from .textkit import Texts, fewer_tasks, small_batches, stored
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SCHEMA = "block long, ids binary, offsets binary, data binary, rest binary"
 LAST = np.iinfo(np.int64).max
 
@@ -64,7 +64,7 @@ def write_blocks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             texts = Texts.of(table.column(1))
             rest = table.drop_columns(["_id", "_text"])
             others = rest.to_batches()[0] if rest.num_columns else pa.RecordBatch.from_arrays([], [])
-            row = [(part << 32) + number, pack(table.column(0).to_numpy().astype("<i8")), pack(texts.offsets.astype("<i8")), pack(texts.data, 3), _serial(others)]
+            row = [(part << 32) + number, pack(table.column(0).to_numpy().astype("<i8")), pack(texts.offsets.astype("<i8")), pack(texts.data, 9), _serial(others)]
             number += 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 4))], ["block", "ids", "offsets", "data", "rest"])
 
@@ -84,7 +84,7 @@ def write_blocks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if held:
             yield block()
 
-    return stored(rows.mapInArrow(run, SCHEMA), folder, "blocks")
+    return stored(fewer_tasks(rows).mapInArrow(run, SCHEMA), folder, "blocks")
 
 
 def texts_of(row: dict) -> tuple[np.ndarray, Texts]:

@@ -29,9 +29,9 @@ from .blocks import BLOCK_BYTES, LAST, pack, rest_of, rows_of, texts_of, unpack,
 from .bwt import repeat_groups
 from .textkit import U64, Rolling, Texts, mix, shared_folder, stored
 
-WIDTH, PIECE = 50, 16
+WIDTH, PIECE = 50, 24
 #: Starts that are hashed at a time, and bytes of runs that are sorted at a time.
-STEP, SORTED_BYTES = 1 << 20, 2 << 20
+STEP, SORTED_BYTES = 1 << 18, 1 << 18
 #: Different text around one hash, in units of UNIT bytes, from which on its strings are dealt out singly.
 UNIT, HOT_UNITS = 64, 20_000
 
@@ -65,7 +65,7 @@ def _content(roll: Rolling, base: int, first: np.ndarray, count: np.ndarray, wid
 
 
 def _buckets(blocks: int) -> int:
-    return 1 << max(4, int(np.ceil(np.log2(max(1, blocks) / 4))))
+    return 1 << max(5, int(np.ceil(np.log2(max(1, blocks) / 4))))
 
 
 def _keys(texts: Texts, ids: np.ndarray, width: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,6 +185,8 @@ def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 def follow(blocks: DataFrame, answers: DataFrame, buckets: int, width: int, piece: int) -> DataFrame:
     """Rows (kind 1) with strings for a bucket, and one row (kind 0) a block with the strings' places."""
 
+    bits = buckets.bit_length() - 1
+
     def send(batches):
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
         names = ["kind", "block", "bucket", "low", "routes", "counts", "least", "most", "text", "places"]
@@ -201,27 +203,36 @@ def follow(blocks: DataFrame, answers: DataFrame, buckets: int, width: int, piec
                 for k in range(buckets):
                     for a in range(at[k], at[k + 1], 200_000):
                         b = min(at[k + 1], a + 200_000)
-                        text = pack(_gather(texts.data, first[a:b], count[a:b] + width - 1), 3)
-                        out = (1, row["block"], k, int(a), route[a:b].tobytes(), pack(count[a:b].astype("<i4")), pack(least[a:b]), pack(most[a:b]), text, None)
+                        text = pack(_gather(texts.data, first[a:b], count[a:b] + width - 1), 6)
+                        # 32 bits of a hash keep its strings together within a bucket
+                        short = ((route[a:b] << U64(bits)) >> U64(32)).astype("<u4")
+                        out = (1, row["block"], k, int(a), short.tobytes(), pack(count[a:b].astype("<i4")), pack(least[a:b]), pack(most[a:b]), text, None)
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds)], names)
 
     joined = blocks.select("block", "ids", "offsets", "data").join(answers, "block")
     return joined.mapInArrow(send, "kind int, block long, bucket int, low int, routes binary, counts binary, least binary, most binary, text binary, places binary")
 
 
-def _earliest(text: np.ndarray, size: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of strings laid end to end: for each start with room, its position and the smallest id that has its WIDTH bytes."""
+def _earliest(data: np.ndarray, place: np.ndarray, size: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start with room in each of the strings at these places: the smallest id that has its `width` bytes.
+
+    Also the number of starts of each string. Equal strings are sorted once.
+    """
+    text = _gather(data, place, size)
+    end = np.cumsum(size)
+    _, first, same = np.unique(Rolling(text).of(end - size, end), return_index=True, return_inverse=True)
+    ids = np.full(len(first), LAST)
+    np.minimum.at(ids, same, least)
+    own = size[first]
+    text = _gather(data, place[first], own)
     group = repeat_groups(text, width)
-    begin = np.cumsum(size) - size
-    room = size - width + 1
+    begin, room = np.cumsum(own) - own, own - width + 1
     at = np.repeat(begin - (np.cumsum(room) - room), room) + np.arange(int(room.sum()))
-    group, ids = group[at], np.repeat(least, room)
-    order = np.argsort(group, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
-    earliest = np.minimum.reduceat(ids[order], heads)
-    out = np.empty(len(at), np.int64)
-    out[order] = np.repeat(earliest, np.diff(np.append(heads, len(order))))
-    return at, out
+    group = group[at]
+    earliest = np.full(int(group.max()) + 1, LAST)
+    np.minimum.at(earliest, group, np.repeat(ids, room))
+    by_start = earliest[group]
+    return _gather(by_start, (np.cumsum(room) - room)[same], room[same]), room[same]
 
 
 def repeats(strings: DataFrame, width: int, sorted_bytes: int = SORTED_BYTES) -> DataFrame:
@@ -229,17 +240,18 @@ def repeats(strings: DataFrame, width: int, sorted_bytes: int = SORTED_BYTES) ->
 
     def meet(table):
         rows = table.select(["block", "low", "routes", "counts", "least", "most", "text"]).to_pylist()
-        routes = [np.frombuffer(r["routes"], U64) for r in rows]
-        sizes = [unpack(r["counts"], "<i4").astype(np.int64) + width - 1 for r in rows]
-        route, size = np.concatenate(routes), np.concatenate(sizes)
+        routes = [np.frombuffer(r["routes"], "<u4") for r in rows]
+        route = np.concatenate(routes)
+        size = np.concatenate([unpack(r["counts"], "<i4") for r in rows]).astype(np.int64) + width - 1
         owner = np.repeat(np.arange(len(rows)), [len(x) for x in routes])
-        number = np.concatenate([np.arange(len(x)) for x in routes])
-        least, most = np.concatenate([unpack(r["least"], "<i8") for r in rows]), np.concatenate([unpack(r["most"], "<i8") for r in rows])
-        place = np.concatenate([np.cumsum(s) - s for s in sizes])
+        number = np.concatenate([np.arange(len(x)) + r["low"] for x, r in zip(routes, rows)])
+        least, most = (np.concatenate([unpack(r[c], "<i8") for r in rows]) for c in ("least", "most"))
+        data = np.concatenate([unpack(r["text"], np.uint8) for r in rows])
+        place = np.cumsum(size) - size
         order = np.argsort(route, kind="stable")
         total = np.cumsum(size[order])
         last = np.append(route[order][1:] != route[order][:-1], True)
-        out: list[list] = [[] for _ in rows]
+        found: list[tuple[np.ndarray, ...]] = []
         at = 0
         while at < len(order):
             # whole groups of one hash, up to sorted_bytes (or one group)
@@ -247,32 +259,27 @@ def repeats(strings: DataFrame, width: int, sorted_bytes: int = SORTED_BYTES) ->
             ends = np.flatnonzero(last[at:upto])
             end = at + ends[-1] + 1 if len(ends) else at + int(np.argmax(last[at:])) + 1
             own = order[at:end]
-            own = own[np.argsort(owner[own], kind="stable")]
-            pieces = []
-            for k in np.unique(owner[own]):
-                of = own[owner[own] == k]
-                pieces.append(_gather(unpack(rows[k]["text"], np.uint8), place[of], size[of]))
-            text = np.concatenate(pieces)
-            begin = np.cumsum(size[own]) - size[own]
-            starts, earliest = _earliest(text, size[own], least[own], width)
-            string = np.searchsorted(begin, starts, "right") - 1
-            hit = earliest < most[own][string]
-            starts, earliest, string = starts[hit], earliest[hit], string[hit]
-            if len(starts):
-                new = np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (earliest[1:] != earliest[:-1]) | (string[1:] != string[:-1])])
+            earliest, room = _earliest(data, place[own], size[own], least[own], width)
+            string = np.repeat(np.arange(len(own)), room)
+            start = np.arange(len(string)) - np.repeat(np.cumsum(room) - room, room)
+            hit = np.flatnonzero(earliest < most[own][string])
+            if len(hit):
+                new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (earliest[hit[1:]] != earliest[hit[:-1]]) | (string[hit[1:]] != string[hit[:-1]])])
                 heads = np.flatnonzero(new)
-                ends_at = np.append(heads[1:], len(starts)) - 1
-                which = own[string[heads]]
-                for k in np.unique(owner[which]):
-                    m = owner[which] == k
-                    base = begin[string[heads][m]]
-                    out[k].append((number[which][m] + rows[k]["low"], starts[heads][m] - base, starts[ends_at][m] - base + 1, earliest[heads][m]))
+                tails = np.append(heads[1:], len(hit)) - 1
+                which = own[string[hit[heads]]]
+                found.append((owner[which], number[which], start[hit[heads]], start[hit[tails]] + 1, earliest[hit[heads]]))
             at = end
         blocks, blobs = [], []
-        for r, found in zip(rows, out):
-            if found:
-                blocks.append(r["block"])
-                blobs.append(pack(np.stack([np.concatenate(x) for x in zip(*found)]).astype("<i8")))
+        if found:
+            columns = [np.concatenate(x) for x in zip(*found)]
+            by = np.argsort(columns[0], kind="stable")
+            edges = np.searchsorted(columns[0][by], np.arange(len(rows) + 1))
+            for k, r in enumerate(rows):
+                some = by[edges[k] : edges[k + 1]]
+                if len(some):
+                    blocks.append(r["block"])
+                    blobs.append(pack(np.stack([c[some] for c in columns[1:]]).astype("<i8")))
         return pa.table([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "found"])
 
     met = strings.where("kind = 1").select("bucket", "block", "low", "routes", "counts", "least", "most", "text").groupBy("bucket").applyInArrow(meet, "block long, found binary")

@@ -6,6 +6,7 @@ many rows Spark puts in a batch; one text longer than the bound makes a slice of
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,21 +150,30 @@ def fewer_tasks(df):
 
 def shared_folder(spark) -> str:
     """A new folder that the driver and all executors can reach: under spark.checkpoint.dir, or in tests a local one."""
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = getattr(spark, "_llm_shared", None) or f"file://{tempfile.mkdtemp(prefix='llm-shared-')}"
-        spark._llm_shared = base
+        base = getattr(spark, "_llm_shared", None)
+        if base is None:
+            own = tempfile.mkdtemp(prefix="llm-shared-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            base = spark._llm_shared = f"file://{own}"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def stored(df, folder: str, name: str):
     """Writes df as Parquet in a shared folder and reads it back: cuts lineage and survives lost executors."""
     path = f"{folder}/{name}"
+    spark = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # shuffle files of the plan just run go once the driver has collected what refers to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class HashArray:
