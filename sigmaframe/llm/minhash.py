@@ -39,7 +39,7 @@ LIKELY = 0.58
 SMALL = 16
 SLICE_BYTES = 1 << 20
 #: Pairs that are verified together.
-GROUP_PAIRS = 2000
+GROUP_PAIRS = 400
 TABLE = 1 << 16
 #: Shingles that are sampled together.
 CACHED = 1 << 14
@@ -210,25 +210,34 @@ def _pairs(table: pa.Table, left: np.ndarray, right: np.ndarray, extra: dict | N
     return pa.table({n: pa.array(x[w]) for w, s in ((left, "a"), (right, "b")) for n, x in zip((s, f"{s}_block", f"{s}_place"), c)} | (extra or {}))
 
 
-def star_pairs(groups: DataFrame, salt: int = 1) -> DataFrame:
+def star_pairs(groups: DataFrame, buckets: int) -> DataFrame:
     """Candidate pairs of each band group: all of a small one, those with the most typical text of a large one."""
 
     def meet(table):
+        ids, band = (table.column(c).combine_chunks().to_numpy() for c in ("id", "band"))
+        order = np.lexsort((ids, band))
+        table, ids, band = table.take(pa.array(order)), ids[order], band[order]
         short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-        ids = table.column("id").combine_chunks().to_numpy()
-        n = len(ids)
-        if n <= SMALL:
-            left, right = np.triu_indices(n, 1)
-        else:
-            mode = np.array([np.bincount(short[:, k], minlength=256).argmax() for k in range(SAMPLES)], np.uint8)
-            alike = (short == mode).sum(1)
-            centre = np.lexsort((ids, -alike))[0]
-            right = np.delete(np.arange(n), centre)
-            left = np.full(n - 1, centre)
-        likely = (short[left] == short[right]).mean(1) >= LIKELY
+        heads = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        size = np.diff(np.append(heads, len(band)))
+        small = np.repeat(size <= SMALL, size)
+        left, right = [], []
+        for d in range(1, SMALL):
+            near = np.flatnonzero((band[d:] == band[:-d]) & small[d:]) if d < len(band) else np.zeros(0, np.int64)
+            left.append(near)
+            right.append(near + d)
+        for head, n in zip(heads[size > SMALL], size[size > SMALL]):
+            own = short[head : head + n]
+            mode = np.array([np.bincount(own[:, k], minlength=256).argmax() for k in range(SAMPLES)], np.uint8)
+            centre = head + np.lexsort((ids[head : head + n], -(own == mode).sum(1)))[0]
+            others = np.delete(np.arange(head, head + n), centre - head)
+            left.append(np.full(n - 1, centre))
+            right.append(others)
+        left, right = np.concatenate(left), np.concatenate(right)
+        likely = np.concatenate([(short[left[k : k + 100_000]] == short[right[k : k + 100_000]]).mean(1) >= LIKELY for k in range(0, len(left), 100_000)] or [np.zeros(0, bool)])
         return _pairs(table, left[likely], right[likely])
 
-    return groups.groupBy("band").applyInArrow(meet, PAIR)
+    return groups.groupBy(F.pmod("band", F.lit(buckets)).alias("bucket")).applyInArrow(meet, PAIR)
 
 
 def verify(pairs: DataFrame, blocks: DataFrame, counts: DataFrame, documents: int, folder: str, name: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,7 +278,7 @@ def verify(pairs: DataFrame, blocks: DataFrame, counts: DataFrame, documents: in
 
     joined = blocks.select("block", "ids", "offsets", "data").join(wanted, "block").join(counts, "block")
     vectors = joined.mapInArrow(send, "group int, id long, keys binary, weights binary")
-    return stored(dealt.groupBy("group").cogroup(vectors.groupBy("group")).applyInArrow(meet, "a long, b long, similar boolean"), folder, f"{name}-verified")
+    return stored(dealt.groupBy("group").cogroup(vectors.groupBy("group")).applyInArrow(meet, "a long, b long, similar boolean"), folder, f"{name}-verified", release=True)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -280,9 +289,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     documents = rows.count()
     blocks = write_blocks(docs, folder, id_col, text_col, (), block_bytes)
     buckets = _buckets(blocks.select("block").count())
-    counts = stored(document_counts(blocks, buckets), folder, "counts")
-    groups = stored(band_groups(blocks, counts, documents, buckets), folder, "groups")
-    verified = verify(star_pairs(groups), blocks, counts, documents, folder, "star", threshold)
+    counts = stored(document_counts(blocks, buckets), folder, "counts", release=True)
+    groups = stored(band_groups(blocks, counts, documents, buckets), folder, "groups", release=True)
+    verified = verify(star_pairs(groups, buckets), blocks, counts, documents, folder, "star", threshold)
     linked = components(verified.where("similar"), f"{folder}/first")
     second = loose_pairs(groups, linked, folder)
     if not second.isEmpty():

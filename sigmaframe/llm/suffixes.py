@@ -309,7 +309,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...],
     blocks = write_blocks(docs, folder, id_col, text_col, keep, block_bytes)
     buckets = _buckets(blocks.select("block").count())
     answers = shared_hashes(blocks, buckets, width, piece, hot_units)
-    strings = stored(follow(blocks, answers, buckets, width, piece), folder, "strings")
+    strings = stored(follow(blocks, answers, buckets, width, piece), folder, "strings", release=True)
     places = strings.where("kind = 0").select("block", "places")
     return blocks.join(places, "block", "left").join(repeats(strings, width, sorted_bytes), "block", "left")
 

@@ -7,6 +7,7 @@ many rows Spark puts in a batch; one text longer than the bound makes a slice of
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,14 +166,21 @@ def shared_folder(spark) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df, folder: str, name: str):
-    """Writes df as Parquet in a shared folder and reads it back: cuts lineage and survives lost executors."""
+def stored(df, folder: str, name: str, release: bool = False):
+    """Writes df as Parquet in a shared folder and reads it back: cuts lineage and survives lost executors.
+
+    With release, the shuffle files of the plan just run are given up before anything else runs.
+    """
     path = f"{folder}/{name}"
     spark = df.sparkSession
     df.write.parquet(path)
-    # shuffle files of the plan just run go once the driver has collected what refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        # they go once no event waits that refers to the plan and the driver has collected it
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
