@@ -33,7 +33,7 @@ WIDTH, PIECE = 50, 24
 #: Starts that are hashed at a time, and bytes of runs that are sorted at a time.
 STEP, SORTED_BYTES = 1 << 18, 1 << 18
 #: Different text around one hash, in units of UNIT bytes, from which on its strings are dealt out singly.
-UNIT, HOT_UNITS = 64, 20_000
+UNIT, HOT_UNITS = 64, 8_000
 
 
 def runs(texts: Texts, width: int = WIDTH, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, Rolling]]:
