@@ -174,7 +174,7 @@ def kneser_ney(counts: DataFrame, folder: str, order: int = ORDER) -> DataFrame:
     for k in range(1, order + 1):
         of = [F.sum(F.when(F.col("n") == j, 1).otherwise(0)).cast("double").alias(f"t{j}") for j in range(1, 5)]
         d = levels[k].groupBy("lang").agg(*of, F.count("*").alias("kinds"))
-        y = F.expr("t1 / (t1 + 2 * t2)")
+        y = F.expr("try_divide(t1, t1 + 2 * t2)")
         raw = [(F.lit(1) - 2 * y * F.expr("try_divide(t2, t1)"), 0.5, 1.0), (F.lit(2) - 3 * y * F.expr("try_divide(t3, t2)"), 1.0, 2.0), (F.lit(3) - 4 * y * F.expr("try_divide(t4, t3)"), 1.5, 3.0)]
         y_safe = F.col("t1") > 0
         d = d.select(F.col("lang").alias("d_lang"), "kinds", *(F.when(y_safe & v.isNotNull() & (v > 0) & (v <= most), v).otherwise(F.lit(other)).alias(f"d{j}") for j, (v, other, most) in enumerate(raw, 1)))
