@@ -107,11 +107,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return found.select(F.col(id_col).alias("doc_id"), *map(count, BASE_KINDS), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_live", "n_example")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", repo_col: str = "doc_id", owner_col: str = "source", **options) -> DataFrame:
     """docs with every live value in its text replaced by a mark; other texts and columns stay as they are."""
-    columns = tuple(docs.columns)
-    found = judged(docs, text_col, keep=columns, **options)
-    text = F.col(text_col)
+    own = {c: f"in{k}" for k, c in enumerate(docs.columns)}
+    found = judged(docs.toDF(*own.values()), own[text_col], own[repo_col], own[owner_col], keep=tuple(own.values()), **options)
+    text = F.col(own[text_col])
 
     def step(so_far: Column, span: Column) -> Column:
         inside = span["start"] < so_far["at"]
@@ -120,4 +120,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **op
 
     walked = F.aggregate(F.filter("spans", lambda s: s["kind"] == "live"), F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step)
     new = F.when(F.col("n_live") > 0, F.concat(walked["text"], text.substr(walked["at"] + 1, F.length(text)))).otherwise(text)
-    return found.withColumn(text_col, new).select(*columns)
+    return found.withColumn(own[text_col], new).select(*(F.col(n).alias(c) for c, n in own.items()))
