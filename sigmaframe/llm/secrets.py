@@ -2,8 +2,8 @@
 
 Candidates are found by one pattern a kind. Each candidate value is hashed, and its hash is counted
 over distinct repositories and distinct owners of the whole corpus. Values that many owners have are
-copied examples; values that few owners have and that look random are live. Base kinds are always
-reported; the method adds a `live` span around each live value.
+copied examples; values that few owners have are live, of whatever length and alphabet. Base kinds are
+always reported; the method adds a `live` span around each live value.
 
 Positions are code points, the end exclusive. Nulls count as empty texts, which have no spans; a
 null owner or repository is one of its own. Repeated rows are scanned each on its own and count as
@@ -31,10 +31,8 @@ KINDS = BASE_KINDS | MORE_KINDS
 ORDER = [*KINDS, "live"]
 #: A value that more owners have than this is a copied example.
 MOST_OWNERS = 5
-#: A live-looking value has at least so many characters, and so many different ones.
-LIVE_LENGTH, LIVE_KINDS = 12, 8
 
-SPAN = "struct<start:int,rank:int,kind:string,end:int,hash:string,value_start:int,random:boolean>"
+SPAN = "struct<start:int,rank:int,kind:string,end:int,hash:string,value_start:int>"
 
 
 def _found(kind: str, text: Column) -> Column:
@@ -49,7 +47,6 @@ def _found(kind: str, text: Column) -> Column:
         value = piece["value"]
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(value.cast("binary"), 256).alias("hash"), (end - F.length(value)).alias("value_start"),
-            ((F.length(value) >= LIVE_LENGTH) & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_KINDS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")).alias("random"),
         )
         enough = F.length(value) >= least
         return F.when(piece["all"].isNull(), so_far).otherwise(F.struct(end.alias("at"), F.when(enough, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"]).alias("spans")))
@@ -84,7 +81,7 @@ def judged(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", ow
     hits = rows.where(F.size("spans") > 0)
     counted = stored(ownership(hits, names[repo_col], names[owner_col]), folder, "owners")
     each = hits.select("row", F.explode("spans").alias("s")).select("row", "s", F.col("s.hash").alias("hash"))
-    live = (F.col("n_owners") <= most_owners) & F.col("s.random")
+    live = F.col("n_owners") <= most_owners
     added = F.when(live, F.struct(F.col("s.value_start").alias("start"), F.lit(ORDER.index("live")).alias("rank"), F.lit("live").alias("kind"), F.col("s.end").alias("end")))
     found = each.join(counted, "hash").groupBy("row").agg(F.collect_set(added).alias("live"), F.sum(F.when(F.col("n_owners") > most_owners, 1).otherwise(0)).alias("n_example"))
     found = found.select(F.col("row").alias("of_row"), "live", "n_example")
