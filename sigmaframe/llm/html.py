@@ -43,7 +43,7 @@ WORD = re.compile(r"\w+|[^\w\s]")
 DIGIT = re.compile(r"\d")
 
 PATH_SLOTS, WORD_SLOTS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 20, 12, 10, 20
-MOST_PATH, MOST_WORDS = 8, 32
+MOST_WORDS = 32
 #: Generated pages and passes of the training, and its seed.
 TRAINING_PAGES, PASSES, SEED = 2400, 10, 7
 
@@ -67,7 +67,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = [t for _, names in stack[-MOST_PATH:] for t in names]
+            path = [t for _, names in stack for t in names]
             near = [t for _, names in stack[-2:] for t in names]
             out.append(Block(text, [f"^{t}" for t in path] + [f"${t}" for t in near], linked))
         parts.clear()
@@ -441,6 +441,15 @@ class PageMaker:
             parts.append(self.comments())
         return a + "".join(parts) + b
 
+    def nested(self, section: str) -> str:
+        """By chance, a section whose content lies some elements deeper."""
+        m = re.match(r"(?:<!-- ad -->)?<[^>]+>", section)
+        end = section.rfind("</")
+        if not m or end < m.end() or m[0].startswith(("<p", "<ul", "<ol")) or not self.maybe(0.25):
+            return section
+        tags = [("<div>", "</div>") if self.maybe(0.6) else self.named("inner wrap row col grid box layer outer cell", "div div section") for _ in range(self.r.randint(1, 10))]
+        return section[: m.end()] + "".join(a for a, _ in tags) + section[m.end() : end] + "".join(b for _, b in reversed(tags)) + section[end:]
+
     def page(self) -> str:
         r = self.r
         before = [f for f, p in ((self.notice, 0.25), (self.header, 0.45), (self.menu, 0.75), (self.share, 0.15), (self.advert, 0.45), (self.form, 0.15), (self.side, 0.15)) if self.maybe(p)]
@@ -449,9 +458,10 @@ class PageMaker:
         after = [f for f, p in ((self.share, 0.15), (self.advert, 0.25), (self.comments, 0.4), (self.side, 0.35), (self.form, 0.15), (self.notice, 0.2), (self.menu, 0.1)) if self.maybe(p)]
         r.shuffle(after)
         after += [self.footer] if self.maybe(0.85) else []
-        body = "".join(f() for f in before) + self.article() + "".join(f() for f in after)
+        body = "".join(self.nested(f()) for f in (*before, self.article, *after))
         if self.maybe(0.15):
-            body = f'<div class="{r.choice(("wrapper", "container", "page", "site"))}">{body}</div>'
+            for _ in range(r.choice((1, 1, 1, 2, 4, 8))):
+                body = f'<div class="{r.choice(("wrapper", "container", "page", "site"))}">{body}</div>'
         head = f'<head><title>{self.prose(1, 10)}</title><style>p{{}}</style><script>var a="<p>x</p>";</script></head>'
         return f"<!DOCTYPE html><html>{head}<body>{body}" + ("</body></html>" if self.maybe(0.85) else "")
 

@@ -22,6 +22,12 @@ def test_blocks_of_malformed_markup():
     assert [b.text for b in html.blocks("a < b <i>c</i>&#x41;<script>x")] == ["a < b cA"]
 
 
+def test_paths_reach_the_root():
+    deep = "<html><body><nav class=menu>" + "<div><span>" * 12 + "text"
+    (block,) = html.blocks(deep)
+    assert {"^html", "^body", "^nav", "^.menu"} <= set(block.path)
+
+
 def test_gradients_are_right():
     pages, labels = html.training_set(4, 3)
     model = html.Labeller(seed=1)
