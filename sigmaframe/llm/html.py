@@ -43,7 +43,6 @@ WORD = re.compile(r"\w+|[^\w\s]")
 DIGIT = re.compile(r"\d")
 
 PATH_SLOTS, WORD_SLOTS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 20, 12, 10, 20
-MOST_WORDS = 32
 #: Generated pages and passes of the training, and its seed.
 TRAINING_PAGES, PASSES, SEED = 2400, 10, 7
 
@@ -148,14 +147,12 @@ def vectors(page: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.n
     for k, b in enumerate(page):
         text = b.text
         paths.append(_path_slots(tuple(b.path)))
-        # the head of a block tells its kind; its text is kept whole
-        head = text[:200]
-        words.append(np.array([_slot(t, WORD_SLOTS) for t in WORD.findall(head.lower())[:MOST_WORDS]] or [0]))
+        words.append(np.array([_slot(t, WORD_SLOTS) for t in WORD.findall(text.lower())] or [0]))
         n = len(text)
         stops = text.count(".") + text.count(",")
         measures.append(
             (np.log1p(n) / 5, min(1.0, b.linked / n), min(1.0, 10 * stops / n), n < 25, n > 120, k / max(len(page) - 1, 1), k == 0,
-             text[-1] in ".!?:", min(len(page), 100) / 100, len(DIGIT.findall(head)) / min(n, 200))
+             text[-1] in ".!?:", min(len(page), 100) / 100, len(DIGIT.findall(text)) / n)
         )
     return paths, words, np.array(measures, np.float32).reshape(-1, MEASURES)
 

@@ -28,6 +28,13 @@ def test_paths_reach_the_root():
     assert {"^html", "^body", "^nav", "^.menu"} <= set(block.path)
 
 
+def test_whole_texts_are_measured():
+    head = "word " * 60
+    _, words, measures = html.vectors([html.Block(head + tail, ["^p"], 0) for tail in ("plain end", "12345 678")])
+    assert [len(w) for w in words] == [62, 62] and words[0][-1] != words[1][-1]
+    assert measures[0, 9] == 0 and measures[1, 9] > 0
+
+
 def test_gradients_are_right():
     pages, labels = html.training_set(4, 3)
     model = html.Labeller(seed=1)
