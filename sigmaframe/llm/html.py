@@ -5,8 +5,11 @@ numpy reads, for each block, a vector of its tag path, a vector of its hashed wo
 measures, over the whole page in order, and labels every block as main text or not. It is trained
 here, on the driver, on generated pages of many layouts; weights travel as a small broadcast.
 
-Nulls and empty pages have an empty text. Repeated rows are extracted each on its own. Malformed
-markup is read as browsers do: unclosed paragraphs, list items and cells end at the next one.
+Nulls and empty pages have an empty text. Repeated rows are extracted each on its own; a block whose
+two labels tie (probability 0.5) is main text. Extra columns are left out, whatever their names.
+Malformed markup is read as browsers do: unclosed paragraphs, list items and cells end at the next
+one, raw text only at its own closing tag; a < that begins no tag is text. A page is read in time
+linear in its length, however long or broken it is.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import html
 import random
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +35,17 @@ BLOCK_TAGS = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea svg iframe object math".split())
+RAW_TAGS = frozenset("script style noscript textarea iframe title".split())
+HIDDEN_TAGS = frozenset("template svg object math".split())
 #: An opening tag ends an open element of these, unless one of the stoppers lies between.
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 STOPPERS = frozenset("ul ol dl table div section article aside nav main form body html blockquote".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends at the first > outside of quotes; where quotes don't close, at the first >. A < before that makes it plain text.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
+#: Elements open at once at most; deeper ones become siblings, as in browsers.
+MOST_DEPTH = 512
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LETTERS = re.compile(r"[a-z]+")
 WORD = re.compile(r"\w+|[^\w\s]")
@@ -44,7 +53,7 @@ DIGIT = re.compile(r"\d")
 
 PATH_SLOTS, WORD_SLOTS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 20, 12, 10, 20
 #: Generated pages and passes of the training, and its seed.
-TRAINING_PAGES, PASSES, SEED = 2400, 10, 7
+TRAINING_PAGES, PASSES, SEED = 2800, 11, 7
 
 
 class Block:
@@ -54,49 +63,100 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """Text ("", "", "", text) and tags ("", "/", name, attributes) of a page in order, in time linear in its length.
+
+    Comments, declarations and what elements of RAW_TAGS and HIDDEN_TAGS hold are left out. Raw text
+    ends at its own closing tag only; a script or style without one goes on to the end of the page,
+    and of the others only the tag is left out then.
+    """
+    at = begin = 0
+    last, unclosed = page.rfind(">"), set()
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        if page.startswith(("<!--", "<![CDATA["), at):
+            ending = "-->" if page.startswith("<!--", at) else "]]>"
+            end = page.find(ending, at + 2)
+            m, end = None, len(page) if end < 0 else end + 3
+        elif at > last:
+            break
+        elif page.startswith(("<!", "<?"), at):
+            m, end = None, page.find(">", at) + 1
+        else:
+            m = TAG.match(page, at) or LOOSE_TAG.match(page, at)
+            if not m:
+                at += 1
+                continue
+            end = m.end()
+        if begin < at:
+            yield "", "", "", page[begin:at]
+        begin = at = end
+        if not m:
+            continue
+        name = m[2].lower()
+        if not m[1] and name not in unclosed and (name in RAW_TAGS or name in HIDDEN_TAGS and not m[3].endswith("/")):
+            inside = 1
+            for tag in _ends(name).finditer(page, at):
+                inside += -1 if tag[1] else name in HIDDEN_TAGS
+                if not inside:
+                    break
+            if not inside:
+                begin = at = min(page.find(">", tag.end()) % (len(page) + 1) + 1, len(page))
+            elif name in ("script", "style"):
+                return
+            else:
+                unclosed.add(name)
+            continue
+        yield "", m[1], name, m[3]
+    if begin < len(page):
+        yield "", "", "", page[begin:]
+
+
+@lru_cache(maxsize=20)
+def _ends(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty leaf blocks of a page in order, white space collapsed and references decoded."""
     out: list[Block] = []
     stack: list[tuple[str, list[str]]] = []
     parts: list[str] = []
+    path: list[str] | None = None
     linked = depth_a = 0
-    raw = ""
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, path
+        if not parts:
+            return
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = [t for _, names in stack for t in names]
-            near = [t for _, names in stack[-2:] for t in names]
-            out.append(Block(text, [f"^{t}" for t in path] + [f"${t}" for t in near], linked))
+            if path is None:
+                near = [t for _, names in stack[-2:] for t in names]
+                path = [f"^{t}" for _, names in stack for t in names] + [f"${t}" for t in near]
+            out.append(Block(text, path, min(linked, len(text))))
         parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal depth_a
+        nonlocal depth_a, path
         depth_a -= sum(tag == "a" for tag, _ in stack[to:])
         del stack[to:]
+        path = None
 
-    at = 0
-    for m in TAG.finditer(page):
-        name = (m[2] or "").lower()
-        if raw:
-            if m[1] and name == raw:
-                raw, at = "", m.end()
-            continue
-        piece = page[at : m.start()]
-        if piece:
-            parts.append(piece)
-            if depth_a:
-                linked += len(piece)
-        at = m.end()
+    for _, closing, name, rest in pieces(page):
         if not name:
+            parts.append(rest)
+            if depth_a:
+                linked += len(rest)
             continue
         if name == "br":
             parts.append("\n")
             continue
         is_block = name in BLOCK_TAGS
-        if m[1]:
+        if closing:
             where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if is_block:
                 close()
@@ -114,19 +174,15 @@ def blocks(page: str) -> list[Block]:
                         break
                 elif tag in STOPPERS:
                     break
-        if name in VOID_TAGS or m[3].endswith("/") and name not in BLOCK_TAGS:
-            continue
-        if name in RAW_TAGS:
-            raw = name
+        if name in VOID_TAGS or rest.endswith("/") and name not in BLOCK_TAGS or len(stack) >= MOST_DEPTH:
             continue
         names = [name]
-        if is_block and m[3]:
-            for kind, *values in NAMED.findall(m[3]):
+        if is_block and rest:
+            for _, *values in NAMED.findall(rest):
                 names += [f".{t}" for t in LETTERS.findall(next(filter(None, values), "").lower())]
         stack.append((name, names))
+        path = None
         depth_a += name == "a"
-    if not raw:
-        parts.append(page[at:])
     close()
     return out
 
@@ -322,8 +378,10 @@ class PageMaker:
 
     def inline(self, text: str) -> str:
         ws = text.split(" ")
-        if len(ws) > 4 and self.maybe(0.25):
+        for _ in range(self.r.choice((0, 0, 0, 1, 1, 3)) if len(ws) > 4 else 0):
             k = self.r.randrange(len(ws) - 1)
+            if "<" in ws[k]:
+                continue
             tag = self.r.choice(("b", "i", "em", "strong", "a", "span", "code"))
             ws[k] = f"<{tag}{' href=/x' if tag == 'a' else ''}>{ws[k]}</{tag}>"
         return " ".join(ws)
@@ -335,7 +393,8 @@ class PageMaker:
             return f"<{tag}>", f"</{tag}>"
         name = self.r.choice(names.split())
         name = self.r.choice((name, name, f"{self.r.choice(('site', 'page', 'main', 'top', 'block', 'box', 'widget'))}-{name}", f"{name}-{self.r.choice(('box', 'list', 'wrap', 'area', 'inner'))}"))
-        return f'<{tag} {self.r.choice(("class", "class", "id"))}="{name}">', f"</{tag}>"
+        more = self.r.choice(("", "", "", ' data-x="1"', " role=region", f' id="{self.word()}"'))
+        return f'<{tag} {self.r.choice(("class", "class", "id"))}="{name}"{more}>', f"</{tag}>"
 
     def links(self, n: int) -> str:
         r = self.r
@@ -390,7 +449,7 @@ class PageMaker:
 
     def footer(self) -> str:
         a, b = ("<footer>", "</footer>") if self.maybe(0.6) else self.named("footer foot bottom copyright legal colophon", "div footer section", 0.0)
-        start = self.r.choice(("&copy; ", "&copy; example.com &middot; ", "Copyright 2020 ", "", "All rights reserved. "))
+        start = self.r.choice(("&copy; ", f"&copy; {self.word()}.org &middot; ", f"Copyright {self.r.randint(1996, 2024)} ", "", "All rights reserved. "))
         body = start + self.prose(1, 25)
         return a + (f"<p>{body}</p>" if self.maybe(0.5) else body) + (self.links(4) if self.maybe(0.4) else "") + (b if self.maybe(0.9) else "")
 
@@ -419,18 +478,23 @@ class PageMaker:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{self.marked(self.prose(1, 4))}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 3))) + "</table>"
         return f"<div>{text}</div>"
 
-    def article(self) -> str:
+    def article(self, bare: bool = False) -> str:
         r, shape = self.r, self.r.random()
-        if shape < 0.45:
+        if bare:
+            a, b = "", ""
+        elif shape < 0.45:
             a, b = "<article>", "</article>"
         elif shape < 0.6:
             a, b = "<main>", "</main>"
         elif shape < 0.65:
             a, b = "<main><article>", "</article></main>"
+        elif shape < 0.7:
+            a, b = '<div role="main">', "</div>"
         else:
             a, b = self.named("content article post entry story body text main article-body post-content entry-content page-content", "div div section article main", 0.1)
         n = int(np.exp(r.uniform(0, np.log(22))))
-        parts = [f"<h1>{self.marked(self.prose(1, 14))}</h1>"] if self.maybe(0.85) else []
+        title = r.choice(("h1", "h1", "h1", 'h1 class="title"', 'h2 class="entry-title"', "h2"))
+        parts = [f"<{title}>{self.marked(self.prose(1, 14))}</{title[:2]}>"] if self.maybe(0.85) else []
         parts += [self.paragraph() for _ in range(n)]
         if self.maybe(0.15):
             parts.insert(r.randrange(len(parts)) + 1, r.choice((self.advert, self.share, self.side, self.notice))())
@@ -447,8 +511,25 @@ class PageMaker:
         tags = [("<div>", "</div>") if self.maybe(0.6) else self.named("inner wrap row col grid box layer outer cell", "div div section") for _ in range(self.r.randint(1, 10))]
         return section[: m.end()] + "".join(a for a, _ in tags) + section[m.end() : end] + "".join(b for _, b in reversed(tags)) + section[end:]
 
+    def table(self) -> str:
+        """A page laid out by the cells of a table."""
+        r = self.r
+        cell = lambda text, names="": f"<td{' width=' + str(r.randint(90, 700)) if self.maybe(0.3) else ''}{f' class={r.choice(names.split())}' if names and self.maybe(0.6) else ''}{' colspan=2' if self.maybe(0.2) else ''}>{text}" + ("</td>" if self.maybe(0.8) else "")
+        menu = "<br>".join(f'<a href="{k}.htm">{t}</a>' for k, t in enumerate(self.words(r.randint(2, 8)))) if self.maybe(0.6) else self.links(r.randint(2, 8))
+        main = "".join([f"<h1>{self.marked(self.prose(1, 10))}</h1>"] * self.maybe(0.8) + [self.paragraph() for _ in range(r.randint(1, 10))])
+        title = self.prose(1, 6)
+        rows = [cell(r.choice((f"<font size=5>{title}</font>", f"<b>{title}</b>", f"<h2>{title}</h2>", title)), "top header title banner")] if self.maybe(0.8) else []
+        sides = [cell(menu, "menu left nav links"), cell(main, "content main text body")]
+        rows.append("".join(sides if self.maybe(0.7) else sides[::-1]))
+        rows += [cell(r.choice(("Copyright ", "&copy; ", "")) + f"{r.randint(1996, 2024)} {self.prose(1, 8)}", "footer bottom copyright")] if self.maybe(0.8) else []
+        return f"<table{r.choice(('', ' width=100%', ' border=0', ' class=layout'))}>" + "".join(f"<tr>{x}" + ("</tr>" if self.maybe(0.8) else "") for x in rows) + "</table>"
+
     def page(self) -> str:
         r = self.r
+        if self.maybe(0.06):
+            return f"<html><head><title>{self.prose(1, 6)}</title></head><body>{self.table()}</body></html>"
+        if self.maybe(0.04):
+            return f"<html><body>{self.article(bare=True)}</body></html>"
         before = [f for f, p in ((self.notice, 0.25), (self.header, 0.45), (self.menu, 0.75), (self.share, 0.15), (self.advert, 0.45), (self.form, 0.15), (self.side, 0.15)) if self.maybe(p)]
         if self.maybe(0.3):
             r.shuffle(before)
@@ -459,7 +540,7 @@ class PageMaker:
         if self.maybe(0.15):
             for _ in range(r.choice((1, 1, 1, 2, 4, 8))):
                 body = f'<div class="{r.choice(("wrapper", "container", "page", "site"))}">{body}</div>'
-        head = f'<head><title>{self.prose(1, 10)}</title><style>p{{}}</style><script>var a="<p>x</p>";</script></head>'
+        head = f"<head><title>{self.prose(1, 10)}</title>" + r.choice(("", "<style>p > b {}</style>", "<script>if (a<b) c('<p>x</p>')</script>")) + "</head>"
         return f"<!DOCTYPE html><html>{head}<body>{body}" + ("</body></html>" if self.maybe(0.85) else "")
 
 

@@ -1,10 +1,12 @@
 """Held-out accuracy of the learnt operators, on generated pages and texts, and the pipeline's stages."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 
+from foreign_pages import PAGES
 from sigmaframe.llm import html, toxicity
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
@@ -22,6 +24,32 @@ def test_blocks_of_malformed_markup():
     assert [b.text for b in html.blocks("a < b <i>c</i>&#x41;<script>x")] == ["a < b cA"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>Hello one two.</p><script>for(var i=0;i<n;i++){a(i)}</script><p>After script text.</p>", ["Hello one two.", "After script text."]),
+    ("<head><script>if(i<n){x}</script></head><body><p>a <b and c</p><p>x < y & z</p>", ["a <b and c", "x < y & z"]),
+    ('<p title="a>b">q</p><p class="x>bad</p><p>more</p>', ["q", "bad", "more"]),
+    ("1 <b and c", ["1 <b and c"]),
+    ("<SCRIPT>a</script >b<style>c", ["b"]),
+    ("x <svg><svg></svg>t</svg> y <object>z", ["x y z"]),
+    ("u<!-- c --><!doctype html>v<![CDATA[k]]>w <!-- open", ["uvw"]),
+])
+def test_raw_text_and_stray_brackets(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a " * 300_000 + ">", '<a "' * 250_000, "<div>x" * 150_000, "<svg>" * 200_000, "<!--" * 250_000, "<" * 1_000_000, "<script>" * 120_000, "<p>x</div>" * 100_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    html.blocks(page)
+    assert time.time() - began < 15
+
+
+def test_pages_of_foreign_layouts():
+    model = html.Labeller(html.trained())
+    right = [html.main_texts(model, [page])[0] == "\n\n".join(want) for page, want in PAGES.values()]
+    assert sum(right) >= 9
+
+
 def test_paths_reach_the_root():
     deep = "<html><body><nav class=menu>" + "<div><span>" * 12 + "text"
     (block,) = html.blocks(deep)
