@@ -6,12 +6,16 @@ many rows Spark puts in a batch; one text longer than the bound makes a slice of
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
@@ -19,6 +23,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 _BYTE_CODES = None
+#: Byte ranges up to this length are compared by rolling hashes; longer ones, which could be built to agree in those, by xxh3.
+ROLLED = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,6 +105,13 @@ class Texts:
     def bytes_of(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
+    def hashes(self, start: np.ndarray, end: np.ndarray, roll: Rolling | None = None) -> np.ndarray:
+        """Hashes of byte ranges; no structure of the bytes makes different ranges agree."""
+        out = (roll or Rolling(self.data)).of(start, end)
+        for k in np.flatnonzero(end - start > ROLLED):
+            out[k] = xxhash.xxh3_64_intdigest(self.data[start[k] : end[k]])
+        return out
+
     def slices(self, limit: int) -> Iterator[tuple[int, Texts]]:
         """Consecutive runs of texts of at most `limit` bytes (or one longer text), with the first one's index."""
         n, at = len(self), 0
@@ -149,8 +162,43 @@ def fewer_tasks(df):
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-stored_bytes // TASK_BYTES), 1_000_000)))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that workers kept for reuse hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps its own rules
+        return
+
+
+class Names(dict):
+    """Fresh column names of a DataFrame by the caller's names, so that none clashes with an operator's own."""
+
+    def __init__(self, columns: list[str]):
+        self.pairs = [(c, f"in{k}") for k, c in enumerate(columns)]
+        super().__init__(self.pairs)
+
+    def restore(self, df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(n).alias(c) for c, n in self.pairs))
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, Names]:
+    """df with fresh column names, and these."""
+    own = Names(df.columns)
+    return df.toDF(*(n for _, n in own.pairs)), own
+
+
+def _filesystem(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_folder(spark) -> str:
-    """A new folder that the driver and all executors can reach: under spark.checkpoint.dir, or in tests a local one."""
+    """A new folder under spark.checkpoint.dir, which the driver and all executors can reach; it goes when Spark ends.
+
+    Only where Spark runs in one process, as in tests, may the setting be missing.
+    """
     import atexit
     import shutil
     import tempfile
@@ -158,12 +206,27 @@ def shared_folder(spark) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_llm_shared", None)
         if base is None:
             own = tempfile.mkdtemp(prefix="llm-shared-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             base = spark._llm_shared = f"file://{own}"
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    at, files = _filesystem(spark, folder)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return folder
+
+
+def discard(spark, folder: str, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables of a shared folder that nothing reads any more."""
+    at, files = _filesystem(spark, folder)
+    for entry in files.listStatus(at):
+        if entry.getPath().getName() not in keep:
+            files.delete(entry.getPath(), True)
 
 
 def stored(df, folder: str, name: str, release: bool = False):
