@@ -6,13 +6,21 @@ gives exactly these two tokens again. When nothing fits, the last token is short
 is ruled out at most once, so the work is linear in the word's length, and the accepted sequence is
 the one that applying the merges in order would give.
 
-Nulls and empty texts have no tokens; their digests are those of zero bytes.
+Texts are normalised and cut into words here, with Python's tables, but for texts with one of the
+characters for which these tables and the tokenizer library's differ (another version of Unicode):
+their words come from the library's normaliser and cutter. These characters are found by trying all.
+
+Nulls and empty texts have no tokens; their digests are those of zero bytes. Repeated rows are encoded
+each on its own, very long texts as a whole. Ties can't occur: a text has one encoding. Extra columns,
+whatever their names, stay as they are or are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -20,6 +28,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from .textkit import small_batches
@@ -28,6 +37,8 @@ from .textkit import small_batches
 END = "￿"
 #: Distinct words kept with their ids by one worker. Only a cache: it is emptied when full.
 CACHE_WORDS = 400_000
+#: Pairs whose compatibility is kept; also only a cache.
+CACHE_PAIRS = 2_000_000
 
 #: Characters at which str.split() cuts and the vocabulary's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -43,9 +54,11 @@ def byte_alphabet() -> list[str]:
 class Encoder:
     """Tokens, merges and pair compatibility of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: str = ""):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.odd = regex.compile(odd) if odd else None
         model, self.suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -63,6 +76,7 @@ class Encoder:
         self.coded = [i.to_bytes(4, "little") for i in self.ids]
         self.shape = [self._marked(t) for t in order]
         self.length = [len(s) for s in self.shape]
+        self.widest = max(self.length)
         self.matcher = ahocorasick.Automaton()
         for k, s in enumerate(self.shape):
             self.matcher.add_word(s, k)
@@ -73,7 +87,9 @@ class Encoder:
         for k, s in enumerate(self.shape):
             self.shorter[k] = next((by_shape[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_shape), -1)
         self.alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_start = os.path.commonprefix(list(self.special))
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.words: dict[str, bytes] = {}
@@ -91,6 +107,8 @@ class Encoder:
         """Whether joining the bytes of tokens a and b (ranks) encodes to these two tokens again."""
         known = self.fits.get((a, b))
         if known is None:
+            if len(self.fits) >= CACHE_PAIRS:
+                self.fits.clear()
             known = self.fits[a, b] = self._compatible(a, b)
         return known
 
@@ -121,7 +139,8 @@ class Encoder:
             n += 1
         else:
             barred = set()
-        longest, length, shorter, known = self.matcher.iter_long, self.length, self.shorter, self.fits
+        length, shorter, known, widest = self.length, self.shorter, self.fits, self.widest
+        longest = self.matcher.iter_long if n <= widest else lambda text, at=0: self.matcher.iter_long(text[at : at + widest])  # the matcher copies what it is given
         out: list[int] = []
         at, token = 0, next(longest(text))[1]
         while True:
@@ -166,12 +185,22 @@ class Encoder:
             self.chunks[chunk] = ids
         return ids
 
-    def _plain(self, text: str) -> bytes:
+    def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")  # lower case by character, without the final form
-        text = text.lower()
+        return text.lower()
+
+    def library_words(self, text: str) -> list[str]:
+        """The words of a text by the library's normaliser and cutter."""
+        shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes([self.byte_of[c] for c in w]).decode("utf-8") for w, _ in shown]
+
+    def _plain(self, text: str) -> bytes:
+        if self.odd and not text.isascii() and self.odd.search(text):
+            return b"".join(map(self._known, self.library_words(text)))
+        text = self.normal(text)
         if ODD_SPACE.search(text):
             return b"".join(map(self._known, self.pattern.findall(text)))
         chunks = text.split()
@@ -182,7 +211,7 @@ class Encoder:
         """Ids of a whole text; the vocabulary's special strings become their ids, as in the library."""
         if not text:
             return b""
-        if self.special_cut is None or "<|" not in text:
+        if self.special_cut is None or self.special_start not in text:
             return self._plain(text)
         return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in self.special_cut.split(text) if p)
 
@@ -199,17 +228,46 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def odd_characters(path: str) -> str:
+    """A pattern for the characters that Python and the library normalise or class differently, and for those unknown to Python."""
+    enc = Encoder(path)
+
+    def differs(text: str) -> bool:
+        return enc.pattern.findall(enc.normal(text)) != enc.library_words(text)
+
+    odd = []
+    for low in range(0, sys.maxunicode + 1, 128):
+        known = []
+        for c in range(low, low + 128):
+            category = unicodedata.category(chr(c))
+            if category == "Cn":
+                odd.append(c)
+            elif category != "Cs":
+                known.append(c)
+        if known and differs(" ".join(f"a{chr(c)}b" for c in known)):
+            odd += [c for c in known if differs(f"a{chr(c)}b")]
+    ranges: list[list[int]] = []
+    for c in sorted(odd):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else ""
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, odd: str) -> Encoder:
+    return Encoder(path, odd)
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Adds an array of token ids to each row; null and empty texts get an empty array."""
+    """Adds an array of token ids to each row, or replaces a column of that name; null and empty texts get an empty array."""
+    docs = docs.drop(ids_col) if ids_col != text_col else docs
     small_batches(docs.sparkSession)
-    names = docs.columns
+    names, odd = docs.columns, odd_characters(path)
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, odd)
         for batch in batches:
             ids = [enc.encode(t) for t in batch.column(names.index(text_col)).to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -222,10 +280,10 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
 
 def decode_column(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the decoded text of an id array to each row; null and empty arrays decode to an empty text."""
-    names = tokens.columns
+    names, odd = tokens.columns, odd_characters(path)
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, odd)
         for batch in batches:
             texts = [enc.decode(np.array(x or [], "<u4").tobytes()).decode("utf-8") for x in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out_col])
@@ -237,9 +295,10 @@ def decode_column(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: s
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: number of tokens, digest of its ids and digest of their decoded text."""
     small_batches(docs.sparkSession)
+    odd = odd_characters(path)
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, odd)
         for batch in batches:
             n, a, b = [], [], []
             for text in batch.column(1).to_pylist():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, odd_characters
 from .textkit import small_batches
 
 SEQUENCE = 4096
@@ -32,10 +32,10 @@ def binary_lengths(n: int, longest: int = SEQUENCE) -> list[int]:
 def pieces(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", longest: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
     """One row per piece: its place in the document and its sequence, and with_ids its token ids."""
     small_batches(docs.sparkSession)
-    closing = np.array([end_id], "<u4").tobytes()
+    closing, odd = np.array([end_id], "<u4").tobytes(), odd_characters(path)
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, odd)
         for batch in batches:
             for low in range(0, batch.num_rows, 250):
                 part = batch.slice(low, 250)
