@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .textkit import U64, HashArray, Rolling, Texts, fewer_tasks, mix, shared_folder, small_batches, stored
 
 ORDER = 5
-#: Largest number of n-grams whose hashes and scores (12 bytes each) are broadcast; beyond it, scoring joins.
+#: Largest number of n-grams whose hashes and scores (16 bytes each) are broadcast; beyond it, scoring joins, to the same result.
 BROADCAST_GRAMS = 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on.
 TASK_GRAMS = 1_000_000
@@ -63,12 +63,12 @@ def base_statistics(texts: Texts) -> dict[str, np.ndarray]:
     starts, line_owner = starts[order], line_owner[order]
     ends = ends[np.lexsort((ends, np.concatenate([of, np.arange(n)])))]
     worded = np.searchsorted(first, starts) < np.searchsorted(first, ends)
-    key = roll.of(starts[worded], ends[worded]) ^ mix(line_owner[worded].astype(U64) + U64(1))
+    key = texts.hashes(starts[worded], ends[worded], roll) ^ mix(line_owner[worded].astype(U64) + U64(1))
     own = line_owner[worded]
     _, where = np.unique(key, return_index=True)
     out["n_dup_lines"] = np.bincount(own, minlength=n) - np.bincount(own[where], minlength=n)
 
-    words = roll.of(first, last)
+    words = texts.hashes(first, last, roll)
     covered = np.zeros(len(words) + 1, np.int64)
     if len(words) >= 5:
         within = np.flatnonzero(owner[4:] == owner[:-4])
@@ -214,7 +214,7 @@ def _perplexities(docs: DataFrame, model: DataFrame, text_col: str, lang_col: st
     shared = None
     if size <= BROADCAST_GRAMS:
         table = model.toArrow()
-        keys, logp = table.column(0).to_numpy().view(U64), table.column(1).to_numpy().astype(np.float32)
+        keys, logp = table.column(0).to_numpy().view(U64), table.column(1).to_numpy()
         order = np.argsort(keys)
         shared = spark.sparkContext.broadcast((keys[order], logp[order]))
 
