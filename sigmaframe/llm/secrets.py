@@ -1,13 +1,17 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by one pattern a kind. Each candidate value is hashed, and its hash is counted
-over distinct repositories and distinct owners of the whole corpus. Values that many owners have are
-copied examples; values that few owners have are live, of whatever length and alphabet. Base kinds are
-always reported; the method adds a `live` span around each live value.
+over distinct repositories and distinct owners of the whole corpus. A value is a copied example if
+more than MOST_OWNERS owners have it and it stands in more than MOST_REPOS repositories: many owners
+in few repositories share a credential, and few owners in many repositories repeat their own. Every
+other value is live, of whatever length and alphabet. Base kinds are always reported; the method adds
+a `live` span around each live value.
 
 Positions are code points, the end exclusive. Nulls count as empty texts, which have no spans; a
 null owner or repository is one of its own. Repeated rows are scanned each on its own and count as
-one repository. Overlapping spans of different kinds are all reported.
+one repository. Overlapping spans of different kinds are all reported; spans with one start go in the
+order of their kinds. Texts are scanned whole, in time about linear in their matches. Extra columns,
+whatever their names, stay as they are or are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import shared_folder, stored
+from .textkit import renamed, shared_folder, stored
 
 #: Kinds in the order that breaks ties: pattern, group with the value, least length of the value.
 BASE_KINDS = {
@@ -29,8 +33,10 @@ MORE_KINDS = {
 }
 KINDS = BASE_KINDS | MORE_KINDS
 ORDER = [*KINDS, "live"]
-#: A value that more owners have than this is a copied example.
-MOST_OWNERS = 5
+#: A value that more owners have than this, in more repositories than that, is a copied example.
+MOST_OWNERS, MOST_REPOS = 5, 10
+#: Matches of one text whose places are added up together.
+PART = 256
 
 SPAN = "struct<start:int,rank:int,kind:string,end:int,hash:string,value_start:int>"
 
@@ -53,7 +59,20 @@ def _found(kind: str, text: Column) -> Column:
 
     none = F.lit(None).cast(f"array<{SPAN}>")
     empty = F.coalesce(none, F.array().cast(f"array<{SPAN}>"))
-    walked = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
+
+    def walk(found: Column) -> Column:
+        """Spans of each part from the part's start on, and the part's length."""
+        first = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PART).cast("int"))
+        return F.transform(first, lambda k: F.aggregate(F.slice(found, k * PART + 1, F.lit(PART)), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step))
+
+    def moved(parts: Column) -> Column:
+        """All spans, each part's moved by the lengths of those before it."""
+        begin = F.aggregate(parts, F.array(F.lit(0)), lambda so_far, p: F.concat(so_far, F.array(F.element_at(so_far, -1) + p["at"])))
+        by = lambda s, n: s.withField("start", s["start"] + n).withField("end", s["end"] + n).withField("value_start", s["value_start"] + n)
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), F.slice(begin, F.lit(1), F.size(parts)).alias("begin")), lambda x: F.transform(x["part"]["spans"], lambda s: by(s, x["begin"]))))
+
+    # one-element arrays name a value, so that it is worked out once
+    walked = F.flatten(F.transform(F.array(pieces), lambda found: F.flatten(F.transform(F.array(walk(found)), moved))))
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
@@ -72,7 +91,7 @@ def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
     return repos.join(owners, "hash")
 
 
-def judged(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", most_owners: int = MOST_OWNERS, keep: tuple[str, ...] = ()) -> DataFrame:
+def judged(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the columns in keep, `spans` with the base and further kinds and `live` spans, n_live and n_example."""
     folder = shared_folder(docs.sparkSession)
     names = {c: f"c{k}" for k, c in enumerate(dict.fromkeys([*keep, repo_col, owner_col]))}
@@ -81,9 +100,9 @@ def judged(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", ow
     hits = rows.where(F.size("spans") > 0)
     counted = stored(ownership(hits, names[repo_col], names[owner_col]), folder, "owners")
     each = hits.select("row", F.explode("spans").alias("s")).select("row", "s", F.col("s.hash").alias("hash"))
-    live = F.col("n_owners") <= most_owners
-    added = F.when(live, F.struct(F.col("s.value_start").alias("start"), F.lit(ORDER.index("live")).alias("rank"), F.lit("live").alias("kind"), F.col("s.end").alias("end")))
-    found = each.join(counted, "hash").groupBy("row").agg(F.collect_set(added).alias("live"), F.sum(F.when(F.col("n_owners") > most_owners, 1).otherwise(0)).alias("n_example"))
+    example = (F.col("n_owners") > most_owners) & (F.col("n_repos") > most_repos)
+    added = F.when(~example, F.struct(F.col("s.value_start").alias("start"), F.lit(ORDER.index("live")).alias("rank"), F.lit("live").alias("kind"), F.col("s.end").alias("end")))
+    found = each.join(counted, "hash").groupBy("row").agg(F.collect_set(added).alias("live"), F.sum(F.when(example, 1).otherwise(0)).alias("n_example"))
     found = found.select(F.col("row").alias("of_row"), "live", "n_example")
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     spans = F.array_sort(F.concat(plain, F.coalesce("live", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>"))))
@@ -98,7 +117,10 @@ def _joined(spans: Column) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per row: counts of the base kinds, a digest of the base spans, all spans, and the verdict's counts."""
-    found = judged(docs, keep=(id_col,), **options)
+    repo, owner, text = options.pop("repo_col", id_col), options.pop("owner_col", "source"), options.pop("text_col", "text")
+    names = dict(zip(dict.fromkeys((id_col, repo, owner, text)), ("in0", "in1", "in2", "in3")))
+    found = judged(docs.select(*(F.col(c).alias(n) for c, n in names.items())), names[text], names[repo], names[owner], keep=(names[id_col],), **options)
+    id_col = names[id_col]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col(id_col).alias("doc_id"), *map(count, BASE_KINDS), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_live", "n_example")
@@ -106,8 +128,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", repo_col: str = "doc_id", owner_col: str = "source", **options) -> DataFrame:
     """docs with every live value in its text replaced by a mark; other texts and columns stay as they are."""
-    own = {c: f"in{k}" for k, c in enumerate(docs.columns)}
-    found = judged(docs.toDF(*own.values()), own[text_col], own[repo_col], own[owner_col], keep=tuple(own.values()), **options)
+    plain, own = renamed(docs)
+    found = judged(plain, own[text_col], own[repo_col], own[owner_col], keep=tuple(plain.columns), **options)
     text = F.col(own[text_col])
 
     def step(so_far: Column, span: Column) -> Column:
@@ -117,4 +139,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", repo
 
     walked = F.aggregate(F.filter("spans", lambda s: s["kind"] == "live"), F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step)
     new = F.when(F.col("n_live") > 0, F.concat(walked["text"], text.substr(walked["at"] + 1, F.length(text)))).otherwise(text)
-    return found.withColumn(own[text_col], new).select(*(F.col(n).alias(c) for c, n in own.items()))
+    return own.restore(found.withColumn(own[text_col], new))
