@@ -11,8 +11,10 @@ ordinary ones. Ordinary windows that look toxic with a first pair of dictionarie
 ordinary part, and the pair is built again.
 
 The only inputs of a score are the text itself and the two dictionaries. Nulls and empty texts have
-no windows and get the score of a text without evidence. Repeated rows get equal scores. Without
-labels of both classes, every score is 0.
+no windows and get the score of a text without evidence. Repeated rows get equal scores; a score of
+exactly 0.5 is predicted toxic. Rows that repeat an id are learnt from once, with the larger label and
+text. Very long texts are read whole. Without labels of both classes, every score is 0. Extra columns,
+whatever their names, stay as they are or are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import small_batches
+from .textkit import Names, renamed, small_batches
 
 #: Most labelled rows that the classifier is fitted on; above it, those with the smallest hashes of their ids.
 MOST_ROWS = 5000
@@ -167,11 +169,13 @@ def _crc(id_col: str):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> tuple[Dictionaries, np.ndarray] | None:
     """Dictionaries and weights from labelled rows whose crc32(id) mod 5 is not 0, at most most_rows of them."""
-    usable = labels.where(_crc(id_col) % 5 != 0).where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    chosen = usable.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(most_rows)
+    usable = labels.where(_crc(id_col) % 5 != 0).where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label_col).alias("y"))
+    order = lambda c: [F.xxhash64(F.col(c).cast("string")), c]
+    chosen = usable.orderBy(*order("of")).limit(most_rows)
     # at most most_rows ids with their labels
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).groupBy("_id", "_y").agg(F.max(text_col).alias("text")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").collect()
-    texts, y = [r["text"] or "" for r in rows], np.array([int(r["_y"] == 1) for r in rows])
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = named.join(F.broadcast(chosen), F.col("id") == F.col("of")).groupBy("id", "y").agg(F.max("text").alias("text")).orderBy(*order("id")).collect()
+    texts, y = [r["text"] or "" for r in rows], np.array([int(r["y"] == 1) for r in rows])
     first = np.arange(len(rows)) % 100 < 100 * DICTIONARY_SHARE
     dictionaries = train_dictionaries([t for t, f in zip(texts, first) if f], list(y[first] == 1))
     if dictionaries is None or y[~first].min(initial=1) == y[~first].max(initial=0):
@@ -180,34 +184,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return dictionaries, calibrate(features(profiles), y[~first])
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's columns in keep, score (0 to 1) and predicted (1 from 0.5 on)."""
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Names]:
+    """docs under fresh names with score (0 to 1) and predicted (1 from 0.5 on), and the names."""
     small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model and (model[0].parts, model[1]))
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    plain, own = renamed(docs)
+    text = plain.columns.index(own[text_col])
 
     def run(batches):
         model = shared.value
         dictionaries = Dictionaries(*model[0]) if model else None
         for batch in batches:
             if model and batch.num_rows:
-                x = features(np.array([dictionaries.profile(t) for t in batch.column(batch.num_columns - 1).to_pylist()]))
+                x = features(np.array([dictionaries.profile(t) for t in batch.column(text).to_pylist()]))
                 p = 1 / (1 + np.exp(-np.clip(x @ model[1][:-1] + model[1][-1], -30, 30)))
             else:
                 p = np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
+    return plain.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"])), own
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out (no label of it is ever learnt), score and predicted."""
-    scored = score(docs, labels, id_col, text_col, keep=(id_col,))
-    return scored.select(F.col(id_col).alias("doc_id"), (_crc(id_col) % 5 == 0).alias("held_out"), "score", "predicted")
+    scored, own = _scored(docs.select(id_col, text_col), labels, id_col, text_col)
+    return scored.select(F.col(own[id_col]).alias("doc_id"), (_crc(own[id_col]) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are predicted toxic."""
-    return score(docs, labels, id_col, text_col, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    scored, own = _scored(docs, labels, id_col, text_col)
+    return own.restore(scored.where("predicted = 0"))
