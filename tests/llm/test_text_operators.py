@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,7 +33,7 @@ def frame(spark, texts, **more):
 
 
 def test_encoding_equals_the_library(texts):
-    ours, library = bpe.encoder(PATH), Tokenizer.from_file(PATH)
+    ours, library = bpe.encoder(PATH, bpe.odd_characters(PATH)), Tokenizer.from_file(PATH)
     for t in texts:
         want = library.encode(t or "", add_special_tokens=False)
         ids = ours.encode(t)
@@ -40,9 +41,26 @@ def test_encoding_equals_the_library(texts):
         assert ours.decode(ids).decode() == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_every_character_encodes_as_in_the_library():
+    ours, library = bpe.encoder(PATH, bpe.odd_characters(PATH)), Tokenizer.from_file(PATH)
+    points = [c for c in (*range(1, 0x32400), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b" for c in points]
+    for low in range(0, len(texts), 5000):
+        for t, want in zip(texts[low:], library.encode_batch(texts[low : low + 5000], add_special_tokens=False)):
+            assert np.frombuffer(ours.encode(t), "<u4").tolist() == want.ids, hex(ord(t[1]))
+
+
+def test_encoding_odd_rows(spark):
+    rows = frame(spark, ["", None, "x y", "x y", "é" * 300_000]).selectExpr("*", "1 as ids", "2 as n_tokens")
+    got = bpe.round_trip_digests(rows, PATH).collect()
+    assert sorted(r.n_tokens for r in got)[:4] == [0, 0, 2, 2] and len(got) == 5
+    coded = bpe.encode_column(rows.where("length(text) < 9"), PATH)
+    assert coded.columns.count("ids") == 1 and sorted(len(r.ids) for r in coded.collect()) == [0, 2, 2]
+
+
 def test_greedy_failures_backtrack():
     """Words on which the longest first match is not the merged result."""
-    ours, library = bpe.encoder(PATH), Tokenizer.from_file(PATH)
+    ours, library = bpe.encoder(PATH, bpe.odd_characters(PATH)), Tokenizer.from_file(PATH)
     r = random.Random(9)
     for _ in range(2000):
         w = "".join(r.choice(["th", "er", "in", "ing", "tion", "an", "re", "ed", "a", "t", "s"]) for _ in range(r.randint(1, 9)))
@@ -142,6 +160,16 @@ def slow_kneser_ney(counts, order):
     return below
 
 
+def test_base_counts_tell_long_alike_strings_apart():
+    """Strings on which every rolling hash modulo a power of two agrees."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate({97: "b", 98: "a"})
+    b = a.translate({97: "b", 98: "a"})
+    got = quality.base_statistics(Texts.of(pa.array([f"{a}\n{b}", f"{a}\n{a}", " ".join([a, "x", "y", "z", "w", b, "x", "y", "z", "w"])])))
+    assert got["n_dup_lines"].tolist() == [0, 1, 0] and got["n_repeat_words"].tolist() == [0, 0, 0]
+
+
 def test_kneser_ney(spark, tmp_path):
     text = "the theme then thaws and the hen hatches there at the heath " * 2
     counts = Counter(text[k : k + 3] for k in range(len(text) - 2))
@@ -196,14 +224,29 @@ def test_secret_spans(spark):
 
 def test_copied_examples_are_not_live(spark):
     example, own = "token=AbCd1234EfGh5678", "token=ZyXw9876VuTs5432"
-    rows = [(i, f"x {example} y", "en", f"owner{i}", 0) for i in range(10)] + [(10, f"{own} end", "en", "owner3", 0), (10, f"{own} end", "en", "owner3", 0), (11, own, "en", None, 0)]
+    rows = [(i, f"x {example} y", "en", f"owner{i}", 0) for i in range(12)] + [(12, f"{own} end", "en", "owner3", 0), (12, f"{own} end", "en", "owner3", 0), (13, own, "en", None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = secrets.report(df).collect()
-    assert len(got) == 13
+    assert len(got) == 15
     for r in got:
-        assert (r.n_live, r.n_example) == ((0, 1) if r.doc_id < 10 else (1, 0))
+        assert (r.n_live, r.n_example) == ((0, 1) if r.doc_id < 12 else (1, 0))
     clean = {(r.doc_id, r.text) for r in secrets.redact(df).collect()}
-    assert (0, f"x {example} y") in clean and (10, "token=[SECRET] end") in clean and (11, "token=[SECRET]") in clean
+    assert (0, f"x {example} y") in clean and (12, "token=[SECRET] end") in clean and (13, "token=[SECRET]") in clean
+
+
+def test_repositories_and_owners_disagree(spark):
+    kinds = {"token=manyowners1": [(k, f"o{k % 7}") for k in range(8)], "token=manyrepos22": [(k, "one") for k in range(100, 140)], "token=both333333": [(k, f"o{k % 7}") for k in range(200, 240)]}
+    rows = [(i, t, "en", o, 0) for t, places in kinds.items() for i, o in places]
+    got = secrets.report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert {(r.n_live, r.n_example) for r in got if r.doc_id < 200} == {(1, 0)} and {(r.n_live, r.n_example) for r in got if r.doc_id >= 200} == {(0, 1)}
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdef1 " * 3000 + "AKIA" + "B" * 20
+    row = secrets.report(frame(spark, [text])).collect()[0]
+    found = [(m.start(), "assign", m.end()) for m in PATTERNS["assign"][0].finditer(text)] + [(len(text) - 24, "access", len(text))]
+    want = ",".join(f"{k}:{a}:{b}" for a, k, b in found)
+    assert row.n_assign == 3000 and row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
 def test_short_and_plain_secrets_are_redacted(spark):
@@ -239,13 +282,26 @@ def test_archive(spark, least):
 
 
 def test_archive_rebuilds_exact_records_and_detects_damage(spark, tmp_path):
-    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    df = spark.createDataFrame(PAGES + [(8, "q", "sölo")], "page_id long, url string, html string").selectExpr("*", "'x' as digest", "1 as record", "2 as header")
     path = f"file://{tmp_path}/a"
     warc.write(df, path)
+    seen = set()
     for r in warc.rebuild(spark, path).collect():
         head, _, block = bytes(r.record).partition(b"\r\n\r\n")
-        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert block == (bytes(r.payload) if size else b"") + b"\r\n\r\n"
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        assert head.startswith(b"WARC/1.0\r\n") and {b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length", b"WARC-Target-URI", b"WARC-Payload-Digest"} <= set(fields)
+        assert re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields[b"WARC-Date"])
+        revisit = fields[b"WARC-Type"] == b"revisit"
+        assert revisit == (b"WARC-Profile" in fields) == (b"WARC-Refers-To" in fields)
+        assert fields[b"WARC-Record-ID"] not in seen
+        seen.add(fields[b"WARC-Record-ID"])
+        body = block.removesuffix(b"\r\n\r\n")
+        assert len(body) == int(fields[b"Content-Length"]) and (not revisit or not body)
+        if not revisit:
+            assert fields[b"WARC-Payload-Digest"] == b"sha1:" + base64.b32encode(hashlib.sha1(body).digest())
+    assert len(seen) == len(PAGES) + 1
+    index = {(r.page_id, r.url) for r in warc.index(spark, path).collect()}
+    assert (3, "u%0D%0Ax") in index and (8, "q") in index
     spark.read.parquet(f"{path}/payloads").selectExpr("digest", "cast('x' as binary) as payload").write.parquet(f"{path}/other")
     import shutil
 
@@ -253,3 +309,10 @@ def test_archive_rebuilds_exact_records_and_detects_damage(spark, tmp_path):
     shutil.move(tmp_path / "a/other", tmp_path / "a/payloads")
     with pytest.raises(Exception, match="damaged payload"):
         warc.index(spark, path).collect()
+
+
+def test_archives_of_odd_tables(spark):
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    long = "é" * 3_000_000
+    got = warc.round_trip(spark.createDataFrame([(1, None, long), (2, None, long), (None, None, None)], "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type) for r in got) == [("1", 6_000_000, "revisit"), ("2", 6_000_000, "response"), ("None", 0, "response")]
