@@ -13,13 +13,9 @@ from ..schema import to_arrays, to_rows
 from ..shipping import ship
 
 
-def per_series(df: DataFrame, keys: Sequence[str], position: str, values: Sequence[str], run: Callable[..., list[list[np.ndarray]]], out: Sequence[str]) -> DataFrame:
-    """Applies run to the arrays of many series at once; it returns, for each output, one array a series.
-
-    A series is one row of arrays; series are dealt over tasks by the grouping's shuffle.
-    """
-    ship(df.sparkSession)
-    arrays = to_arrays(df, keys, position, values)
+def map_arrays(arrays: DataFrame, keys: Sequence[str], values: Sequence[str], run: Callable[..., list[list[np.ndarray]]], out: Sequence[str]) -> DataFrame:
+    """Applies run to the array columns of many series at once; it returns, for each output, one array a series."""
+    ship(arrays.sparkSession)
     n, names = len(keys), list(out)
 
     def batches(stream):
@@ -29,9 +25,16 @@ def per_series(df: DataFrame, keys: Sequence[str], position: str, values: Sequen
             columns = list(batch.columns[:n]) + [pa.array([np.asarray(x, np.float64) for x in r], pa.list_(pa.float64())) for r in results]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:n], *names])
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    mapped = arrays.mapInArrow(batches, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{c}` array<double>" for c in names)]))
-    return to_rows(mapped, keys, position, names)
+    kinds = {f.name: f.dataType.simpleString() for f in arrays.schema.fields}
+    return arrays.select(*keys, *values).mapInArrow(batches, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{c}` array<double>" for c in names)]))
+
+
+def per_series(df: DataFrame, keys: Sequence[str], position: str, values: Sequence[str], run: Callable[..., list[list[np.ndarray]]], out: Sequence[str]) -> DataFrame:
+    """Applies run to the arrays of many series at once; it returns, for each output, one array a series.
+
+    A series is one row of arrays; series are dealt over tasks by the grouping's shuffle.
+    """
+    return to_rows(map_arrays(to_arrays(df, keys, position, values), keys, values, run, out), keys, position, out)
 
 
 def padded(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -9,17 +9,52 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import to_arrays, to_rows
 from ..shipping import ship
-from .batches import padded, per_series, unpadded
+from .batches import map_arrays, padded, per_series, unpadded
 
 
-def xcorr(x: DataFrame, y: DataFrame, keys: Sequence[str], position: str = "i") -> DataFrame:
+def _chosen(strategy: str) -> str:
+    """What runs for a strategy; "auto" is whole series by transform, which does fewer products than the join for every size."""
+    if strategy not in ("auto", "arrow", "relational"):
+        raise ValueError("strategy must be auto, arrow or relational")
+    return "arrow" if strategy == "auto" else strategy
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The series that both have, as arrays x_* and y_*: one row a series."""
+    x, y = (to_arrays(d, keys, "i", values) for d in (a, b))
+    return x.select(*keys, *(F.col(v).alias(f"x_{v}") for v in values)).join(y.select(*keys, *(F.col(v).alias(f"y_{v}") for v in values)), list(keys))
+
+
+def _transform_size(n: int) -> int:
+    return 1 << int(np.ceil(np.log2(max(2, n))))
+
+
+def xcorr(x: DataFrame, y: DataFrame, keys: Sequence[str], position: str = "i", strategy: str = "auto") -> DataFrame:
     """Full cross-correlation of (re, im) or (v): out[k] is the sum of x[n] times conj(y[n + k - (ny - 1)]).
 
-    Lags 0 to nx + ny - 2; lags without overlap are 0.
+    Lags 0 to nx + ny - 2; lags without overlap are 0. "arrow" (and "auto") multiplies the transforms of
+    whole series; "relational" joins all pairs of a series, for series that no task holds.
     """
     real = "v" in x.columns
     cols = ["v"] if real else ["re", "im"]
+    if _chosen(strategy) == "arrow":
+        one = lambda parts: parts[0] if real else parts[0] + 1j * parts[1]
+
+        def run(*columns):
+            out = []
+            for parts in zip(*columns):
+                a, b = one(parts[: len(cols)]), one(parts[len(cols) :])
+                size = _transform_size(2 * max(len(a), len(b)))  # no lag meets another one
+                both = np.fft.ifft(np.conj(np.fft.fft(a, size)) * np.fft.fft(b, size)) if not real else np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)
+                lags = np.arange(len(a) + len(b) - 1) - (len(b) - 1)
+                out.append(np.conj(both[lags % size]))
+            return [out] if real else [[z.real for z in out], [z.imag for z in out]]
+
+        named = [d.select(*keys, F.col(position).alias("i"), *cols) for d in (x, y)]
+        arrays = map_arrays(_beside(*named, keys, cols), keys, [f"{s}_{c}" for s in "xy" for c in cols], run, cols)
+        return to_rows(arrays, keys, position, cols)
     a = x.select(*keys, F.col(position).cast("int").alias("_n"), *(F.col(c).alias(f"x_{c}") for c in cols))
     b = y.select(*(F.col(k).alias(f"y_{k}") for k in keys), F.col(position).cast("int").alias("_j"), *(F.col(c).alias(f"y_{c}") for c in cols))
     same = [F.col(k) == F.col(f"y_{k}") for k in keys]
@@ -42,36 +77,44 @@ def _shift(rate: float, frequency: Column, position: Column) -> tuple[Column, Co
     return F.cos(angle), F.sin(angle)
 
 
-def caf(ref: DataFrame, surv: DataFrame, keys: Sequence[str], bins: int, start: float, step: float, rate: float, ranges: int, strategy: str = "relational") -> DataFrame:
+def caf_maps(ref: DataFrame, surv: DataFrame, keys: Sequence[str], bins: int, start: float, step: float, rate: float, ranges: int) -> DataFrame:
+    """The cross-ambiguity magnitudes of caf(), one row a series: array v of bins times ranges cells."""
+    f = start + step * np.arange(bins)
+
+    def run(re, im, s_re, s_im):
+        out = []
+        for p, q, u, v in zip(re, im, s_re, s_im):
+            n = min(len(p), len(u))  # samples that both have
+            turned = (p[:n] + 1j * q[:n]) * np.exp(2j * np.pi * np.outer(f, np.arange(n)) / rate)
+            later = np.conj(u[:n] + 1j * v[:n])
+            size = _transform_size(n + ranges)
+            if ranges <= 4 * np.log2(size):  # few ranges take fewer products directly
+                shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([later, np.zeros(ranges - 1)]), ranges)
+                c = turned @ shifted
+            else:
+                c = np.fft.ifft(np.conj(np.fft.fft(turned, size)) * np.fft.fft(np.conj(later), size))[:, :ranges]
+                c[:, n:] = 0
+            out.append(np.abs(c).ravel())
+        return [out]
+
+    return map_arrays(_beside(ref, surv, keys, ["re", "im"]), keys, ["x_re", "x_im", "y_re", "y_im"], run, ["v"])
+
+
+def caf(ref: DataFrame, surv: DataFrame, keys: Sequence[str], bins: int, start: float, step: float, rate: float, ranges: int, strategy: str = "auto") -> DataFrame:
     """Cross-ambiguity magnitude: |sum of ref[i] e^(+j 2 pi f i / rate) conj(surv[i + r])| for each Doppler bin d and range r.
 
     f is start + d * step. Only samples that both signals have count; ranges without overlap are 0.
-    "relational" joins on the shifted position; "arrow" transforms whole series with NumPy.
+    "arrow" (and "auto") works on whole series with NumPy, "relational" joins on the shifted position,
+    for series that no task holds.
     """
+    if _chosen(strategy) == "arrow":
+        maps = caf_maps(ref, surv, keys, bins, start, step, rate, ranges)
+        return maps.select(*keys, F.posexplode("v").alias("_k", "v")).select(*keys, F.expr(f"_k div {ranges}").cast("int").alias("d"), (F.col("_k") % ranges).alias("r"), "v")
     a = ref.select(*keys, F.col("i").cast("int").alias("i"), "re", "im")
     b = surv.select(*keys, F.col("i").cast("int").alias("i"), F.col("re").alias("s_re"), F.col("im").alias("s_im"))
     both = a.join(b, [*keys, "i"])  # positions below the shorter length
-    if strategy == "arrow":
-
-        def run(re, im, s_re, s_im):
-            out = [[], [], []]
-            f = start + step * np.arange(bins)
-            for p, q, u, v in zip(re, im, s_re, s_im):
-                n = len(p)
-                size = 1 << int(np.ceil(np.log2(max(2, n + ranges))))
-                turned = (p + 1j * q) * np.exp(2j * np.pi * np.outer(f, np.arange(n)) / rate)
-                c = np.fft.ifft(np.conj(np.fft.fft(turned, size)) * np.fft.fft(u + 1j * v, size))[:, :ranges]
-                if ranges > n:
-                    c[:, n:] = 0
-                d, r = np.indices(c.shape)
-                for o, x in zip(out, (d, r, np.abs(c))):
-                    o.append(x.ravel().astype(float))
-            return out
-
-        done = per_series(both, keys, "i", ["re", "im", "s_re", "s_im"], run, ["d", "r", "v"])
-        return done.select(*keys, F.col("d").cast("int").alias("d"), F.col("r").cast("int").alias("r"), "v")
     c, s = _shift(rate, F.lit(float(start)) + F.col("d") * float(step), F.col("i"))
-    turned = a.join(both.select(*keys, "i"), [*keys, "i"], "left_semi").select(*keys, "i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("d"), "re", "im")
+    turned = both.select(*keys, "i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("d"), "re", "im")
     turned = turned.select(*keys, "i", "d", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
     later = both.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("r"), F.col("i").alias("_j"), "s_re", "s_im").withColumn("i", F.col("_j") - F.col("r")).where("i >= 0")
     pairs = turned.join(later, [*keys, "i"])
@@ -125,12 +168,47 @@ def ca_cfar_2d(grid: DataFrame, guard: tuple[int, int], reference: tuple[int, in
     return out.withColumn("det", (F.col("v") > F.col("threshold")).cast("int"))
 
 
+def box_sums(x: np.ndarray, down: int, across: int) -> np.ndarray:
+    """Sums of a grid over the box of `down` rows and `across` columns on each side of every cell, clipped to the grid."""
+    total = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
+    total[1:, 1:] = x.cumsum(0).cumsum(1)
+    d, r = np.arange(x.shape[0])[:, None], np.arange(x.shape[1])
+    top, bottom = np.maximum(d - down, 0), np.minimum(d + down + 1, x.shape[0])
+    left, right = np.maximum(r - across, 0), np.minimum(r + across + 1, x.shape[1])
+    return total[bottom, right] - total[top, right] - total[bottom, left] + total[top, left]
+
+
+def grid_thresholds(x: np.ndarray, guard: tuple[int, int], reference: tuple[int, int], factor: float) -> np.ndarray:
+    """Thresholds of ca_cfar_2d() for one grid as an array."""
+    (gd, gr), (rd, rr) = guard, reference
+    sums, counts = (box_sums(v, gd + rd, gr + rr) - box_sums(v, gd, gr) for v in (x, np.ones_like(x)))
+    return np.where(counts > 0, factor * sums / np.maximum(counts, 1), 0.0)
+
+
+def map_peaks(maps: DataFrame, keys: Sequence[str], ranges: int, guard: tuple[int, int], reference: tuple[int, int], factor: float, top: int) -> DataFrame:
+    """The `top` strongest detections (rank, d, r, v) of each map (array v of cells, `ranges` a row), by ca_cfar_2d()."""
+
+    def run(maps):
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for v in maps:
+            x = v.reshape(-1, ranges)
+            d, r = np.nonzero(x > grid_thresholds(x, guard, reference, factor))
+            first = np.lexsort((r, d, -np.round(x[d, r], 6)))[:top]
+            for o, c in zip(out, (np.arange(1, len(first) + 1), d[first], r[first], x[d[first], r[first]])):
+                o.append(c.astype(float))
+        return out
+
+    found = map_arrays(maps, keys, ["v"], run, ["rank", "d", "r", "v"])
+    rows = found.select(*keys, F.explode(F.arrays_zip("rank", "d", "r", "v")).alias("x"))
+    return rows.select(*keys, *(F.col(f"x.{c}").cast("int").alias(c) for c in ("rank", "d", "r")), F.col("x.v").alias("v"))
+
+
 def run_nlms(x: np.ndarray, ref: np.ndarray, sizes: np.ndarray, length: int, mu: float, eps: float, warmup: str = "passthrough", state: dict | None = None) -> np.ndarray:
-    """Normalised least mean squares on rows side by side; state holds weights and the last references."""
+    """Normalised least mean squares on real or complex rows side by side; state holds weights and the last references."""
     n, steps = x.shape
     state = state if state is not None else {}
-    w = state.setdefault("w", np.zeros((n, length)))
-    u = state.setdefault("u", np.zeros((n, length)))
+    w = state.setdefault("w", np.zeros((n, length), x.dtype))
+    u = state.setdefault("u", np.zeros((n, length), x.dtype))
     seen = state.setdefault("seen", np.zeros(n, np.int64))
     y = x.copy()
     for t in range(steps):
@@ -142,7 +220,7 @@ def run_nlms(x: np.ndarray, ref: np.ndarray, sizes: np.ndarray, length: int, mu:
             continue
         a = u[adapt]
         e = x[adapt, t] - (w[adapt] * a).sum(1)
-        w[adapt] += (mu * e / (eps + (a * a).sum(1)))[:, None] * a
+        w[adapt] += (mu * e / (eps + (a * np.conj(a)).real.sum(1)))[:, None] * np.conj(a)
         y[adapt, t] = e
     return y
 
@@ -161,6 +239,17 @@ def nlms(df: DataFrame, keys: Sequence[str], length: int, mu: float, eps: float
     return per_series(df, keys, position, [value, reference], run, ["v"])
 
 
+def nlms_complex(df: DataFrame, keys: Sequence[str], length: int, mu: float, eps: float = 1e-6, position: str = "i", warmup: str = "passthrough") -> DataFrame:
+    """nlms() of complex samples (re, im) and references (ref_re, ref_im); weights step along the conjugate references."""
+
+    def run(re, im, ref_re, ref_im):
+        (a, sizes), b, c, d = padded(re), padded(im)[0], padded(ref_re)[0], padded(ref_im)[0]
+        y = run_nlms(a + 1j * b, c + 1j * d, sizes, length, mu, eps, warmup)
+        return [unpadded(y.real, sizes), unpadded(y.imag, sizes)]
+
+    return per_series(df, keys, position, ["re", "im", "ref_re", "ref_im"], run, ["re", "im"])
+
+
 def project_out(df: DataFrame, basis: DataFrame, keys: Sequence[str], position: str = "i", value: str = "v") -> DataFrame:
     """x minus its components along the orthonormal basis vectors (c, i, u)."""
     parts = df.join(basis, position).groupBy(*keys, "c").agg(F.sum(F.col(value) * F.col("u")).alias("_w"))

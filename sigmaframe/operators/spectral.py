@@ -48,10 +48,19 @@ def window(spark: SparkSession, n: int, kind: str, parameter: float | None = Non
     return spark.range(n).select(F.col("id").cast("int").alias("i"), window_value(F.col("id"), max(n, 1), kind, parameter).alias("w"))
 
 
-def apply_window(df: DataFrame, n: int, kind: str, values: Sequence[str], position: str = "i", parameter: float | None = None) -> DataFrame:
-    """Multiplies values at each position by an n-point window, as an expression of the position."""
-    w = window_value(F.col(position), n, kind, parameter)
-    return df.withColumns({v: F.col(v) * w for v in values})
+def apply_window(df: DataFrame, n: int, kind: str, values: Sequence[str], position: str = "i", parameter: float | None = None, keys: Sequence[str] | None = None) -> DataFrame:
+    """Multiplies values at each position by an n-point window, as an expression of the position.
+
+    With keys, a series whose length is not n stays as it is; without, every series is taken to have n
+    points, and positions beyond stay as they are.
+    """
+    fits = F.col(position) < n
+    if keys is not None:
+        sizes = df.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg((F.max(position) + 1).alias("_points"))
+        df = df.join(sizes, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] or F.lit(True)).drop(*(f"_of_{k}" for k in keys))
+        fits = F.col("_points") == n
+    w = F.when(fits, window_value(F.col(position), n, kind, parameter)).otherwise(1.0)
+    return df.withColumns({v: F.col(v) * w for v in values}).drop("_points")
 
 
 def _transformed(one, norm: str | None = None):

@@ -18,6 +18,7 @@ from ..operators import filtering, linalg, matrix, radar, reduce, spectral
 from ..operators.batches import factor
 from ..schema import to_arrays, to_rows
 from ..sources import tables as T
+from ..streaming import filters, replay
 from . import flagship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +175,24 @@ def _(spark, sf_dir):
     return rounded(matrix.gemm(a, matrix.transpose(a)), "v")
 
 
+@register("m1_gemm_complex", f"WITH {mats(16)}, z AS (SELECT m, i, j, v AS re, v * (j - 31) / 64.0 AS im FROM a) SELECT x.m, x.i, y.i AS j, {r('sum(x.re * y.re + x.im * y.im)', 're')}, {r('sum(x.im * y.re - x.re * y.im)', 'im')} FROM z x JOIN z y ON x.m = y.m AND x.j = y.j GROUP BY x.m, x.i, y.i")
+def _(spark, sf_dir):
+    z = T.matrices(spark, sf_dir, 16).select("m", "i", "j", F.col("v").alias("re"), (F.col("v") * (F.col("j") - 31) / 64.0).alias("im"))
+    return rounded(matrix.gemm(z, matrix.transpose(z), conjugate=True), "re", "im")
+
+
+@register("m1_gemm_tiled", f"WITH {mats(16)} SELECT x.m, x.i, y.i AS j, {r('sum(x.v * y.v)', 'v')} FROM a x JOIN a y ON x.m = y.m AND x.j = y.j GROUP BY x.m, x.i, y.i")
+def _(spark, sf_dir):
+    a = T.matrices(spark, sf_dir, 16)
+    return rounded(matrix.gemm(a, matrix.transpose(a), tile=10), "v")
+
+
+@register("m1_gemm_cells", f"WITH {mats(16)} SELECT x.m, x.i, y.i AS j, {r('sum(x.v * y.v)', 'v')} FROM a x JOIN a y ON x.m = y.m AND x.j = y.j GROUP BY x.m, x.i, y.i")
+def _(spark, sf_dir):
+    a = T.matrices(spark, sf_dir, 16)
+    return rounded(matrix.gemm_cells(a, matrix.transpose(a)), "v")
+
+
 @register("m2_gemm_accumulate", f"WITH {mats(16)}, p AS (SELECT x.m, x.i, y.i AS j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.m = y.m AND x.j = y.j GROUP BY x.m, x.i, y.i) SELECT m, i, j, {r('v + v', 'v')} FROM p")
 def _(spark, sf_dir):
     a = T.matrices(spark, sf_dir, 16)
@@ -369,6 +388,84 @@ def _(spark, sf_dir):
     return _cells(matrix.gemm(t, factor(linalg.triangular_solve(t, eye, "lower"), "x")))
 
 
+@register("l2_trsm_upper", EYE_SQL)
+def _(spark, sf_dir):
+    a = _spd(spark, sf_dir)
+    t, eye = a.where("j >= i"), matrix.identity(a)
+    return _cells(matrix.gemm(t, factor(linalg.triangular_solve(t, eye, "upper"), "x")))
+
+
+# factors themselves, where a closed form exists: of 2 x 2 matrices
+
+SPD2 = mats(2) + ", spd AS (SELECT x.m, x.i, y.i AS j, sum(x.v * y.v) + CASE WHEN x.i = y.i THEN 8 ELSE 0 END AS v FROM a x JOIN a y ON x.m = y.m AND x.j = y.j GROUP BY x.m, x.i, y.i)"
+FOUR = ", f AS (SELECT m, max(CASE WHEN i = 0 AND j = 0 THEN v END) AS a, max(CASE WHEN i = 0 AND j = 1 THEN v END) AS b, max(CASE WHEN i = 1 AND j = 0 THEN v END) AS c, max(CASE WHEN i = 1 AND j = 1 THEN v END) AS d FROM {} GROUP BY m HAVING count(*) = 4)"
+
+
+def _spd2(spark, sf_dir) -> DataFrame:
+    a = T.matrices(spark, sf_dir, 2)
+    return matrix.gram(a).withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), 8.0).otherwise(0.0))
+
+
+def _listed(cells: dict[tuple[int, int], str], source: str = "f") -> str:
+    return " UNION ALL ".join(f"SELECT m, CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, {r(v, 'v')} FROM {source}" for (i, j), v in cells.items())
+
+
+@register("l3_cholesky_factor", f"WITH {SPD2}{FOUR.format('spd')} " + _listed({(0, 0): "sqrt(a)", (0, 1): "0", (1, 0): "b / sqrt(a)", (1, 1): "sqrt(d - b * b / a)"}))
+def _(spark, sf_dir):
+    return _cells(factor(linalg.cholesky(_spd2(spark, sf_dir)), "l"))
+
+
+LU_SQL = f"WITH {mats(2)}{FOUR.format('a WHERE j < 2')}, g AS (SELECT m, abs(c) > abs(a) AS swapped, CASE WHEN abs(c) > abs(a) THEN c ELSE a END AS a, CASE WHEN abs(c) > abs(a) THEN d ELSE b END AS b, CASE WHEN abs(c) > abs(a) THEN a ELSE c END AS c, CASE WHEN abs(c) > abs(a) THEN b ELSE d END AS d FROM f) "
+
+
+def _corner(spark, sf_dir) -> DataFrame:
+    return T.matrices(spark, sf_dir, 2).where("j < 2")
+
+
+@register("l4_lu_factor", LU_SQL + _listed({(0, 0): "a", (0, 1): "b", (1, 0): "c / a", (1, 1): "d - c / a * b"}, "g"))
+def _(spark, sf_dir):
+    return _cells(factor(linalg.lu(_corner(spark, sf_dir)), "lu"))
+
+
+@register("l4_lu_pivots", LU_SQL + _listed({(0, 0): "CASE WHEN swapped THEN 1 ELSE 0 END", (0, 1): "CASE WHEN swapped THEN 0 ELSE 1 END"}, "g"))
+def _(spark, sf_dir):
+    return _cells(factor(linalg.lu(_corner(spark, sf_dir)), "piv"))
+
+
+@register("l5_qr_sign", f"WITH {mats(8)}, h AS (SELECT m, sum(v * v) AS s, max(CASE WHEN i = 0 THEN v END) AS head FROM a WHERE j = 0 GROUP BY m) SELECT m, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, {r('CASE WHEN head > 0 THEN -sqrt(s) ELSE sqrt(s) END', 'v')} FROM h")
+def _(spark, sf_dir):
+    return _cells(factor(linalg.qr(T.matrices(spark, sf_dir, 8)), "r").where("i = 0 and j = 0"))
+
+
+@register("l5_qr_triangle", f"WITH {mats(8)} SELECT m, i, CAST(j AS BIGINT) AS j, 0.0::DOUBLE AS v FROM a WHERE j < i")
+def _(spark, sf_dir):
+    return _cells(factor(linalg.qr(T.matrices(spark, sf_dir, 8)), "r").where("j < i"))
+
+
+_HALVES = ("(a + d) / 2", "sqrt(pow((a - d) / 2, 2) + b * b)")
+
+
+@register("l11_svd_values", f"WITH {mats(2)}, w AS (SELECT x.m, x.i, y.i AS j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.m = y.m AND x.j = y.j GROUP BY x.m, x.i, y.i){FOUR.format('w')} " + _listed({(0, k): f"sqrt({_HALVES[0]} {sign} {_HALVES[1]})" for k, sign in enumerate("+-")}))
+def _(spark, sf_dir):
+    return _cells(factor(linalg.svd(T.matrices(spark, sf_dir, 2)), "s"))
+
+
+@register("l11_svd_orthonormal", EYE_SQL)
+def _(spark, sf_dir):
+    return _cells(matrix.gram(factor(linalg.svd(T.matrices(spark, sf_dir, 8)), "vt")).where("i < 8 and j < 8"))
+
+
+@register("l12_eigen_values", f"WITH {SPD2}{FOUR.format('spd')} " + _listed({(0, k): f"{_HALVES[0]} {sign} {_HALVES[1]}" for k, sign in enumerate("-+")}))
+def _(spark, sf_dir):
+    return _cells(factor(linalg.eigh(_spd2(spark, sf_dir)), "values"))
+
+
+@register("l12_eigen_orthonormal", EYE_SQL)
+def _(spark, sf_dir):
+    vectors = factor(linalg.eigh(_spd(spark, sf_dir)), "vectors")
+    return _cells(matrix.gram(matrix.transpose(vectors)))
+
+
 # filters
 
 TAPS = [0.25, 0.5, -0.125, 0.75]
@@ -437,11 +534,11 @@ def _(spark, sf_dir):
 LOW = filtering.design("lowpass", 5000.0, 48000.0)
 
 
-def _biquad_sql(c: filtering.Biquad, table: str = "sig") -> str:
+def _biquad_sql(c: filtering.Biquad, table: str = "sig", name: str = "b") -> str:
     y = f"({c.b0!r} * x.v + s.s1)"
     return (
-        f"b AS (SELECT series, i, v, {c.b0!r} * v AS y, {c.b1!r} * v - ({c.a1!r}) * ({c.b0!r} * v) AS s1, {c.b2!r} * v - ({c.a2!r}) * ({c.b0!r} * v) AS s2 FROM {table} WHERE i = 0 "
-        f"UNION ALL SELECT x.series, x.i, x.v, {y}, {c.b1!r} * x.v - ({c.a1!r}) * {y} + s.s2, {c.b2!r} * x.v - ({c.a2!r}) * {y} FROM b s JOIN {table} x ON x.series = s.series AND x.i = s.i + 1)"
+        f"{name} AS (SELECT series, i, v, {c.b0!r} * v AS y, {c.b1!r} * v - ({c.a1!r}) * ({c.b0!r} * v) AS s1, {c.b2!r} * v - ({c.a2!r}) * ({c.b0!r} * v) AS s2 FROM {table} WHERE i = 0 "
+        f"UNION ALL SELECT x.series, x.i, x.v, {y}, {c.b1!r} * x.v - ({c.a1!r}) * {y} + s.s2, {c.b2!r} * x.v - ({c.a2!r}) * {y} FROM {name} s JOIN {table} x ON x.series = s.series AND x.i = s.i + 1)"
     )
 
 
@@ -456,9 +553,13 @@ def _(spark, sf_dir):
     return rounded(to_rows(x.withColumn("v", filtering.biquad_fold(F.col("v"), LOW)), ["series"], "i", ["v"]), "v")
 
 
-@register("d9_biquad_cascade")
+NOTCH = filtering.design("notch", 9000.0, 48000.0, 2.0)
+CASCADE_SQL = f"WITH RECURSIVE {SIG}, {_biquad_sql(LOW)}, once AS (SELECT series, i, y AS v FROM b), {_biquad_sql(NOTCH, 'once', 'c')} SELECT series, i, {r('y', 'v')} FROM c"
+
+
+@register("d9_biquad_cascade", CASCADE_SQL)
 def _(spark, sf_dir):
-    return rounded(filtering.biquad(T.signals(spark, sf_dir), ["series"], [LOW, filtering.design("notch", 9000.0, 48000.0, 2.0)]), "v")
+    return _long(rounded(filtering.biquad(T.signals(spark, sf_dir), ["series"], [LOW, NOTCH]), "v"), "i")
 
 
 @register(
@@ -517,11 +618,18 @@ def _pulses(spark, sf_dir) -> DataFrame:
     return T.complex_signals(spark, sf_dir).select(F.expr("series div 10").alias("g"), (F.col("series") % 10).alias("p"), F.col("i").alias("r"), "re", "im")
 
 
+def _i0(x: str) -> str:
+    """The modified Bessel function of order 0 as its power series."""
+    return f"list_sum(list_transform(range(0, 40), lambda k: pow(pow(({x}) / 2, k) / gamma(k + 1.0), 2)))"
+
+
 @register("r1_windows", " UNION ALL ".join(
     f"SELECT '{k}' AS kind, CAST(i AS INT) AS i, {r(' + '.join(f'({(-1) ** j * c}) * cos(2 * pi() * {j} * i / 31)' for j, c in enumerate(cs)), 'w')} FROM range(32) t(i)" for k, cs in spectral.COSINE_SUMS.items()
-) + f" UNION ALL SELECT 'gaussian', CAST(i AS INT), {r('exp(-0.5 * pow((i - 15.5) / (0.4 * 15.5), 2))', 'w')} FROM range(32) t(i) UNION ALL SELECT 'rectangular', CAST(i AS INT), 1.0 FROM range(32) t(i)")
+) + f" UNION ALL SELECT 'gaussian', CAST(i AS INT), {r('exp(-0.5 * pow((i - 15.5) / (0.4 * 15.5), 2))', 'w')} FROM range(32) t(i) UNION ALL SELECT 'rectangular', CAST(i AS INT), 1.0 FROM range(32) t(i)"
+    + f" UNION ALL SELECT 'kaiser', CAST(i AS INT), {r(_i0('5 * sqrt(greatest(1 - pow(2 * i / 31.0 - 1, 2), 0))') + ' / ' + _i0('5.0'), 'w')} FROM range(32) t(i)"
+    + f" UNION ALL SELECT 'tukey', CAST(i AS INT), {r('CASE WHEN i < 7.75 THEN 0.5 * (1 + cos(pi() * (i / 7.75 - 1))) WHEN i > 31 - 7.75 THEN 0.5 * (1 + cos(pi() * ((31 - i) / 7.75 - 1))) ELSE 1 END', 'w')} FROM range(32) t(i)")
 def _(spark, sf_dir):
-    parts = [spectral.window(spark, 32, k).select(F.lit(k).alias("kind"), "i", "w") for k in (*spectral.COSINE_SUMS, "gaussian", "rectangular")]
+    parts = [spectral.window(spark, 32, k).select(F.lit(k).alias("kind"), "i", "w") for k in (*spectral.COSINE_SUMS, "gaussian", "rectangular", "kaiser", "tukey")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -533,6 +641,11 @@ def _(spark, sf_dir):
     return rounded(spectral.apply_window(T.complex_signals(spark, sf_dir), 64, "hann", ["re", "im"]), "re", "im")
 
 
+@register("r2_apply_window_other_size", f"WITH {CS} SELECT series, i, {r('re', 're')}, {r('im', 'im')} FROM cs")
+def _(spark, sf_dir):
+    return rounded(spectral.apply_window(T.complex_signals(spark, sf_dir), 63, "hann", ["re", "im"], keys=["series"]), "re", "im")
+
+
 @register("r10_doppler", f"WITH {PULSES} {_dft_sql(-1, table='pu', n=8, position='p', keys='g, r', out='d')}")
 def _(spark, sf_dir):
     return _long(rounded(spectral.doppler(_pulses(spark, sf_dir), 8), "re", "im"), "d", "r")
@@ -546,12 +659,21 @@ def _(spark, sf_dir):
 # correlation, detection, clutter, beams
 
 
-@register("r3_xcorr", f"WITH {SIG}, n AS (SELECT series, max(i) + 1 AS n FROM sig GROUP BY series) SELECT a.series, CAST(b.i - a.i + n - 1 AS INT) AS i, {r('sum(a.v * b.v)', 'v')} FROM sig a JOIN sig b ON a.series = b.series JOIN n ON n.series = a.series GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY a.series, b.i - a.i + n - 1"))
+XCORR_SQL = f"WITH {SIG}, n AS (SELECT series, max(i) + 1 AS n FROM sig GROUP BY series) SELECT a.series, CAST(b.i - a.i + n - 1 AS INT) AS i, {r('sum(a.v * b.v)', 'v')} FROM sig a JOIN sig b ON a.series = b.series JOIN n ON n.series = a.series GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY a.series, b.i - a.i + n - 1")
+
+
+@register("r3_xcorr", XCORR_SQL)
 def _(spark, sf_dir):
     x = T.signals(spark, sf_dir)
     return rounded(radar.xcorr(x, x, ["series"]), "v")
 
 
+@register("r3_xcorr_relational", XCORR_SQL)
+def _(spark, sf_dir):
+    x = T.signals(spark, sf_dir)
+    return rounded(radar.xcorr(x, x, ["series"], strategy="relational"), "v")
+
+
 @register("r3_xcorr_complex", f"WITH {FLIPPED} SELECT a.series, CAST(b.i - a.i + 63 AS INT) AS i, {r('sum(a.re * b.re + a.im * b.im)', 're')}, {r('sum(a.im * b.re - a.re * b.im)', 'im')} FROM cs a JOIN fl b ON a.series = b.series GROUP BY a.series, b.i - a.i + 63")
 def _(spark, sf_dir):
     x = T.complex_signals(spark, sf_dir)
@@ -568,7 +690,7 @@ CAF_SQL = (
 
 @register("r4_caf", f"WITH {CAF_SQL} SELECT series, d, r, {r('v', 'v')} FROM ca")
 def _(spark, sf_dir):
-    return rounded(flagship.ambiguity(T.complex_signals(spark, sf_dir)), "v")
+    return rounded(flagship.ambiguity(T.complex_signals(spark, sf_dir), "relational"), "v")
 
 
 @register("r4_caf_arrow", f"WITH {CAF_SQL} SELECT series, d, r, {r('v', 'v')} FROM ca")
@@ -622,10 +744,63 @@ def _(spark, sf_dir):
     return _long(rounded(radar.os_cfar(T.signals(spark, sf_dir), ["series"], 1, 4, 5, 2), "v", "threshold"), "i")
 
 
-@register("r8_nlms")
+#: Weights and residual of each step, from the last 8 references; the first 7 samples pass through.
+NLMS_SQL = (
+    f"WITH RECURSIVE {CS}, u AS (SELECT series, i, re AS v, list(im) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS u FROM cs), "
+    "s AS (SELECT series, i, v AS y, list_transform(range(0, 8), lambda k: 0.0::DOUBLE) AS w FROM u WHERE i = 6 "
+    "UNION ALL SELECT series, i, e, list_transform(range(1, 9), lambda k: w[k] + 0.1 * e / (1e-6 + list_dot_product(u, u)) * u[k]) FROM (SELECT x.series, x.i, x.u, s.w, x.v - list_dot_product(s.w, x.u) AS e FROM s JOIN u x ON x.series = s.series AND x.i = s.i + 1)) "
+    f"SELECT series, i, {r('y', 'v')} FROM s WHERE i > 6 UNION ALL SELECT series, i, {r('v', 'v')} FROM u WHERE i <= 6"
+)
+
+
+def _nlms_input(spark, sf_dir) -> DataFrame:
+    return T.complex_signals(spark, sf_dir).select("series", "i", F.col("re").alias("v"), F.col("im").alias("ref"))
+
+
+@register("r8_nlms", NLMS_SQL)
+def _(spark, sf_dir):
+    return _long(rounded(radar.nlms(_nlms_input(spark, sf_dir), ["series"], 8, 0.1), "v"), "i")
+
+
+#: The same for complex samples, with the samples in reverse order as references: dot products and steps by part.
+_DOT = "(list_dot_product({0}, {1}) {2} list_dot_product({3}, {4}))"
+NLMS_COMPLEX_SQL = (
+    f"WITH RECURSIVE {FLIPPED}, z AS (SELECT c.series, c.i, c.re, c.im, f.re AS fr, f.im AS fi FROM cs c JOIN fl f ON f.series = c.series AND f.i = c.i), "
+    "u AS (SELECT series, i, re, im, list(fr) OVER w AS p, list(fi) OVER w AS q FROM z WINDOW w AS (PARTITION BY series ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), "
+    "s AS (SELECT series, i, re AS er, im AS ei, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS a, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS b FROM u WHERE i = 2 "
+    "UNION ALL SELECT series, i, er, ei, list_transform(range(1, 5), lambda k: a[k] + g * (er * p[k] + ei * q[k])), list_transform(range(1, 5), lambda k: b[k] + g * (ei * p[k] - er * q[k])) FROM ("
+    f"SELECT x.series, x.i, x.p, x.q, s.a, s.b, 0.1 / (1e-6 + {_DOT.format('x.p', 'x.p', '+', 'x.q', 'x.q')}) AS g, x.re - {_DOT.format('s.a', 'x.p', '-', 's.b', 'x.q')} AS er, x.im - {_DOT.format('s.a', 'x.q', '+', 's.b', 'x.p')} AS ei FROM s JOIN u x ON x.series = s.series AND x.i = s.i + 1)) "
+    f"SELECT series, i, {r('er', 're')}, {r('ei', 'im')} FROM s WHERE i > 2 UNION ALL SELECT series, i, {r('re', 're')}, {r('im', 'im')} FROM u WHERE i <= 2"
+)
+
+
+@register("r8_nlms_complex", NLMS_COMPLEX_SQL)
+def _(spark, sf_dir):
+    x = T.complex_signals(spark, sf_dir)
+    flipped = x.select("series", (63 - F.col("i")).alias("i"), F.col("re").alias("ref_re"), F.col("im").alias("ref_im"))
+    return _long(rounded(radar.nlms_complex(x.join(flipped, ["series", "i"]), ["series"], 4, 0.1), "re", "im"), "i")
+
+
+# streams: the same results block by block, in micro-batches
+
+
+@register("s_biquad", CASCADE_SQL)
+def _(spark, sf_dir):
+    x = T.signals(spark, sf_dir)
+    done = replay.replayed(x, "series", "i", lambda stream: filters.biquad_stream(stream, "series", [LOW, NOTCH]))
+    return _long(rounded(done.select(F.col("key").cast("long").alias("series"), "i", "v"), "v"), "i")
+
+
+@register("s_nlms", NLMS_SQL)
+def _(spark, sf_dir):
+    done = replay.replayed(_nlms_input(spark, sf_dir), "series", "i", lambda stream: filters.nlms_stream(stream, "series", 8, 0.1))
+    return _long(rounded(done.select(F.col("key").cast("long").alias("series"), "i", "v"), "v"), "i")
+
+
+@register("s_resample", ORACLE_SQL["d8_resample"])
 def _(spark, sf_dir):
-    x = T.complex_signals(spark, sf_dir).select("series", "i", F.col("re").alias("v"), F.col("im").alias("ref"))
-    return rounded(radar.nlms(x, ["series"], 8, 0.1), "v")
+    done = replay.replayed(T.signals(spark, sf_dir), "series", "i", lambda stream: filters.resample_stream(stream, "series", SHAPE, UP, DOWN))
+    return _long(rounded(done.select(F.col("key").cast("long").alias("series"), "i", "v"), "v"), "i")
 
 
 @register("r9_projection", f"WITH {EMB.replace('vec_id,', 'vec_id AS series,')}, b AS (SELECT CAST(c AS INT) AS c, i, sqrt(2.0 / 64) * cos(pi() * (c + 1) * (2 * i + 1) / 128) AS u FROM range(3) t(c), range(64) s(i)), w AS (SELECT series, c, sum(v * u) AS w FROM emb JOIN b USING (i) GROUP BY series, c) SELECT e.series, e.i, {r('e.v - sum(w.w * b.u)', 'v')} FROM emb e JOIN w ON w.series = e.series JOIN b ON b.c = w.c AND b.i = e.i GROUP BY e.series, e.i, e.v")
