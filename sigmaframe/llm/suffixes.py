@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, LAST, pack, rest_of, rows_of, texts_of, unpack, write_blocks
 from .bwt import repeat_groups
-from .textkit import U64, Rolling, Texts, mix, shared_folder, stored
+from .textkit import U64, Rolling, Texts, mix, renamed, shared_folder, stored, trim
 
 WIDTH, PIECE = 50, 24
 #: Starts that are hashed at a time, and bytes of runs that are sorted at a time.
 STEP, SORTED_BYTES = 1 << 18, 1 << 18
+#: Starts of one run at most; the runs of text that repeats within itself are then equal, and sorted once.
+MOST_STARTS = 128
 #: Different text around one hash, in units of UNIT bytes, from which on its strings are dealt out singly.
 UNIT, HOT_UNITS = 64, 8_000
 
@@ -53,11 +55,15 @@ def runs(texts: Texts, width: int = WIDTH, piece: int = PIECE) -> Iterator[tuple
         document = texts.owner(starts)
         within = starts + width <= offsets[document + 1]
         change = np.concatenate([[True], (least[1:] != least[:-1]) | (document[1:] != document[:-1])])
+        since = np.arange(len(change))
+        since -= np.maximum.accumulate(np.where(change, since, 0))
+        change |= since % MOST_STARTS == 0
         heads = np.flatnonzero(change & within)
         # a document's starts that have room for a string are its first ones
         stop = np.flatnonzero(np.concatenate([change | ~within, [True]]))
         ends = stop[np.searchsorted(stop, heads, "right")]
-        yield least[heads], document[heads], starts[heads], ends - heads, base, roll
+        # least hashes are small ones; mixed again, they spread over all buckets
+        yield mix(least[heads]), document[heads], starts[heads], ends - heads, base, roll
 
 
 def _content(roll: Rolling, base: int, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
@@ -143,7 +149,8 @@ def _followed(texts: Texts, ids: np.ndarray, answers: list[dict], buckets: int,
     Per string: hash that deals it out, first place, starts, smallest and largest id. Per place:
     number of the string, document, first start.
     """
-    key, _, _ = _keys(texts, ids, width, piece)
+    pieces = list(runs(texts, width, piece))
+    key = np.unique(np.concatenate([k for k, *_ in pieces])) if pieces else np.zeros(0, U64)
     at = _slices(key, buckets)
     shared, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
     for a in answers:
@@ -151,7 +158,7 @@ def _followed(texts: Texts, ids: np.ndarray, answers: list[dict], buckets: int,
         for to, bits in ((shared, a["shared"]), (hot, a["hot"])):
             to[at[k] : at[k + 1]] = np.unpackbits(unpack(bits, np.uint8), count=at[k + 1] - at[k])
     found = []
-    for k, d, s, c, base, roll in runs(texts, width, piece):
+    for k, d, s, c, base, roll in pieces:
         where = np.searchsorted(key, k)
         for singly, wanted in ((False, shared & ~hot), (True, hot)):
             own = wanted[where]
@@ -166,6 +173,7 @@ def _followed(texts: Texts, ids: np.ndarray, answers: list[dict], buckets: int,
             else:
                 content = _content(roll, base, first, count, width)
             found.append((route, document, first, count, content))
+    del pieces
     if not found:
         return None
     route, document, first, count, content = map(np.concatenate, zip(*found))
@@ -208,6 +216,8 @@ def follow(blocks: DataFrame, answers: DataFrame, buckets: int, width: int, piec
                         short = ((route[a:b] << U64(bits)) >> U64(32)).astype("<u4")
                         out = (1, row["block"], k, int(a), short.tobytes(), pack(count[a:b].astype("<i4")), pack(least[a:b]), pack(most[a:b]), text, None)
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds)], names)
+                del ids, texts, found, route, first, count, least, most, string, document, start, places
+                trim()
 
     joined = blocks.select("block", "ids", "offsets", "data").join(answers, "block")
     return joined.mapInArrow(send, "kind int, block long, bucket int, low int, routes binary, counts binary, least binary, most binary, text binary, places binary")
@@ -280,6 +290,8 @@ def repeats(strings: DataFrame, width: int, sorted_bytes: int = SORTED_BYTES) ->
                 if len(some):
                     blocks.append(r["block"])
                     blobs.append(pack(np.stack([c[some] for c in columns[1:]]).astype("<i8")))
+        del rows, routes, route, size, owner, number, least, most, data, place, order, total, last, found
+        trim()
         return pa.table([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "found"])
 
     met = strings.where("kind = 1").select("bucket", "block", "low", "routes", "counts", "least", "most", "text").groupBy("bucket").applyInArrow(meet, "block long, found binary")
@@ -288,20 +300,23 @@ def repeats(strings: DataFrame, width: int, sorted_bytes: int = SORTED_BYTES) ->
 
 def _covered(texts: Texts, ids: np.ndarray, places: bytes | None, found: list[bytes] | None, width: int) -> np.ndarray:
     """Which bytes of a block are to be removed."""
-    gone = np.zeros(len(texts.data) + 1, np.int32)
-    if places is not None and found:
-        string, document, start = unpack(places, "<i4").reshape(3, -1).astype(np.int64)
-        at = np.searchsorted(string, np.arange(string[-1] + 2))
-        for blob in found:
-            which, low, high, earliest = unpack(blob, "<i8").reshape(4, -1)
-            n = at[which + 1] - at[which]
-            k = np.repeat(np.arange(len(which)), n)
-            place = np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            later = earliest[k] < ids[document[place]]
-            k, place = k[later], place[later]
-            gone += np.bincount(start[place] + low[k], minlength=len(gone)).astype(np.int32)
-            gone -= np.bincount(start[place] + high[k] + width - 1, minlength=len(gone)).astype(np.int32)
-    return np.cumsum(gone)[:-1] > 0
+    if places is None or not found:
+        return np.zeros(len(texts.data), bool)
+    string, document, start = unpack(places, "<i4").reshape(3, -1).astype(np.int64)
+    at = np.searchsorted(string, np.arange(string[-1] + 2))
+    which, low, high, earliest = np.concatenate([unpack(blob, "<i8").reshape(4, -1) for blob in found], 1)
+    change = np.zeros(len(texts.data) + 1, np.int32)
+    for part in range(0, len(which), 200_000):
+        some = slice(part, part + 200_000)
+        n = at[which[some] + 1] - at[which[some]]
+        k = np.repeat(np.arange(len(n)), n)
+        place = np.repeat(at[which[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        later = earliest[some][k] < ids[document[place]]
+        k, place = k[later], place[later]
+        for edge, step in ((start[place] + low[some][k], 1), (start[place] + high[some][k] + width - 1, -1)):
+            where, times = np.unique(edge, return_counts=True)
+            change[where] += step * times.astype(np.int32)
+    return np.cumsum(change, dtype=np.int32)[:-1] > 0
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], width: int, piece: int, block_bytes: int, hot_units: int, sorted_bytes: int) -> DataFrame:
@@ -328,15 +343,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 sums, spans = (np.concatenate([[0], np.cumsum(x)])[texts.offsets] for x in (gone, begins))
                 digests = [hashlib.sha256(texts.data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == LAST), pa.array(np.diff(texts.offsets)), pa.array(np.diff(sums)), pa.array(np.diff(spans)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                del texts, gone, begins, sums, spans
+                trim()
 
     return _judged(docs, id_col, text_col, (), width, piece, block_bytes, hot_units, sorted_bytes).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, piece: int = PIECE, block_bytes: int = BLOCK_BYTES, hot_units: int = HOT_UNITS, sorted_bytes: int = SORTED_BYTES) -> DataFrame:
     """docs with repeated bytes cut out of their texts; a character that is cut in part goes as a whole."""
-    columns = list(docs.columns)
-    others = tuple(c for c in columns if c != text_col)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    plain, own = renamed(docs)
+    columns, text = list(plain.columns), own[text_col]
+    others = tuple(c for c in columns if c != text)
 
     def run(batches):
         for batch in batches:
@@ -345,7 +362,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = _covered(texts, ids, row["places"], row["found"], width)
                 left = [texts.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
                 rest = rest_of(row["rest"])
-                by_name = dict(zip(others, rest.columns)) | {text_col: pa.array(left, pa.string())}
+                by_name = dict(zip(others, rest.columns)) | {text: pa.array(left, pa.string())}
                 yield pa.RecordBatch.from_arrays([by_name[c] for c in columns], columns)
+                del ids, texts, gone, left, rest, by_name
+                trim()
 
-    return _judged(docs, id_col, text_col, others, width, piece, block_bytes, hot_units, sorted_bytes).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    judged = _judged(plain, own[id_col], text, others, width, piece, block_bytes, hot_units, sorted_bytes)
+    return own.restore(judged.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)))

@@ -149,6 +149,7 @@ def small_batches(spark) -> None:
     """Keeps batches of text small; sizes are bounded again inside each operator. Also ships the package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
 
 
