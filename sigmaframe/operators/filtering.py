@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import in_pieces
 from .batches import padded, per_series, unpadded
 
 
@@ -25,9 +26,10 @@ def fir(df: DataFrame, keys: Sequence[str], taps: Sequence[float], position: str
     """Sliding dot product with the taps, valid part, no flip; a series shorter than the taps has no rows."""
     if not taps:
         return df.select(*keys, position, F.col(value).alias(out)).limit(0)
-    window = Window.partitionBy(*keys).orderBy(position)
-    done = df.select(*keys, position, _slid(value, window, taps).alias("_y"), F.lead(F.lit(1), len(taps) - 1).over(window).alias("_whole"))
-    return done.where("_whole is not null").select(*keys, position, F.col("_y").alias(out))
+    window = Window.partitionBy(*keys, "_piece").orderBy(position)
+    cut = in_pieces(df.select(*keys, position, value), position, 0, len(taps) - 1)
+    done = cut.select(*keys, position, "_own", _slid(value, window, taps).alias("_y"), F.lead(F.lit(1), len(taps) - 1).over(window).alias("_whole"))
+    return done.where("_own and _whole is not null").select(*keys, position, F.col("_y").alias(out))
 
 
 def convolve_valid(df: DataFrame, keys: Sequence[str], taps: Sequence[float], **names) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import to_arrays, to_rows
+from ..schema import in_pieces, to_arrays, to_rows
 from ..shipping import ship
 from .batches import map_arrays, padded, per_series, unpadded
 
@@ -132,20 +132,22 @@ def ca_cfar(df: DataFrame, keys: Sequence[str], guard: int, reference: int, fact
 
     Cells outside the series do not count; without training cells the threshold is 0. Detection is value > threshold.
     """
-    frames = _frames(Window.partitionBy(*keys).orderBy(position), guard, reference) if reference > 0 else ()
+    frames = _frames(Window.partitionBy(*keys, "_piece").orderBy(position), guard, reference) if reference > 0 else ()
     total, count = F.lit(0.0), F.lit(0)
     for f in frames:
         total, count = total + F.coalesce(F.sum(value).over(f), F.lit(0.0)), count + F.count(value).over(f)
     threshold = F.coalesce(F.lit(float(factor)) * F.try_divide(total, count), F.lit(0.0))
-    x = df.select(*keys, position, F.col(value).alias("v"), threshold.alias("threshold"))
+    cut = in_pieces(df.select(*keys, position, value), position, guard + reference, guard + reference)
+    x = cut.select(*keys, position, "_own", F.col(value).alias("v"), threshold.alias("threshold")).where("_own").drop("_own")
     return x.withColumn("det", (F.col("v") > F.col("threshold")).cast("int"))
 
 
 def os_cfar(df: DataFrame, keys: Sequence[str], guard: int, reference: int, rank: int, factor: float, position: str = "i", value: str = "v") -> DataFrame:
     """Ordered-statistic detector: threshold factor * the training cell of 0-based rank (at most the last one); none without training cells."""
-    frames = _frames(Window.partitionBy(*keys).orderBy(position), guard, reference) if reference > 0 else ()
+    frames = _frames(Window.partitionBy(*keys, "_piece").orderBy(position), guard, reference) if reference > 0 else ()
     cells = F.array_sort(F.concat(*(F.collect_list(value).over(f) for f in frames))) if frames else F.array().cast("array<double>")
-    x = df.select(*keys, position, F.col(value).alias("v"), cells.alias("_cells"))
+    cut = in_pieces(df.select(*keys, position, value), position, guard + reference, guard + reference)
+    x = cut.select(*keys, position, "_own", F.col(value).alias("v"), cells.alias("_cells")).where("_own")
     chosen = F.get("_cells", F.least(F.lit(rank), F.size("_cells") - 1))
     x = x.select(*keys, position, "v", F.coalesce(F.lit(float(factor)) * chosen, F.lit(0.0)).alias("threshold"), (F.size("_cells") > 0).alias("_some"))
     return x.withColumn("det", (F.col("_some") & (F.col("v") > F.col("threshold"))).cast("int")).drop("_some")

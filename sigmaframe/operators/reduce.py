@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import PIECE
+
 
 def total(df: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     return df.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"))
@@ -42,10 +44,20 @@ def norm(df: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     return sums.select(*keys, F.coalesce(F.when(F.isnan("_m"), F.col("_m")).otherwise(value), F.lit(0.0)).alias("norm"))
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], position: str = "i", value: str = "v") -> DataFrame:
-    """Exclusive running sum, 0 at the first position."""
-    before = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    return df.select(*keys, position, F.coalesce(F.sum(value).over(before), F.lit(0.0)).alias("scan"))
+def prefix_sum(df: DataFrame, keys: Sequence[str], position: str = "i", value: str = "v", length: int = PIECE) -> DataFrame:
+    """Exclusive running sum, 0 at the first position.
+
+    In two levels: within pieces of `length` positions, and over the sums of the pieces before.
+    """
+    cut = df.select(*keys, position, value, F.floor(F.col(position) / length).alias("_piece"))
+    sums = cut.groupBy(*keys, "_piece").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.withColumn("_ahead", F.sum("_sum").over(earlier)).select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_piece").alias("_of"), "_ahead")
+    before = Window.partitionBy(*keys, "_piece").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    within = cut.select(*keys, position, "_piece", F.sum(value).over(before).alias("_within"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_piece") == F.col("_of")]
+    scan = F.coalesce("_ahead", F.lit(0.0)) + F.coalesce("_within", F.lit(0.0))
+    return within.join(ahead, same).select(*keys, position, scan.alias("scan"))
 
 
 def softmax(df: DataFrame, keys: Sequence[str], position: str = "i", value: str = "v") -> DataFrame:

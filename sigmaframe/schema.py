@@ -35,3 +35,19 @@ def to_rows(df: DataFrame, keys: Sequence[str], position: str, values: Sequence[
     """The inverse of to_arrays."""
     zipped = F.posexplode(F.arrays_zip(*values)).alias(position, "_row")
     return df.select(*keys, zipped).select(*keys, position, *(F.col(f"_row.{v}").alias(v) for v in values))
+
+
+#: Positions of a series that one task works on in windowed operators; longer series are cut by position.
+PIECE = 65_536
+
+
+def in_pieces(df: DataFrame, position: str, before: int, after: int, length: int | None = None) -> DataFrame:
+    """df with `_piece`, the part of a series that a row belongs to, and `_own`.
+
+    The `before` rows that precede a piece and the `after` rows that follow it are in it too, with
+    `_own` false, so that frames of that reach see the same rows as in the whole series.
+    """
+    length = max(length or PIECE, before + after + 1)
+    piece, within = F.floor(F.col(position) / length), F.col(position) % length
+    copies = F.array(piece, F.when((within < after) & (piece > 0), piece - 1), F.when(within >= length - before, piece + 1))
+    return df.withColumn("_home", piece).withColumn("_piece", F.explode(F.array_compact(copies))).withColumn("_own", F.col("_piece") == F.col("_home")).drop("_home")

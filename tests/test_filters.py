@@ -118,3 +118,18 @@ def test_windows(spark):
     assert w(1, "hann") == pytest.approx([1.0]) and len(w(0, "hann")) == 0
     t = w(21, "tukey", 0.5)
     assert t == pytest.approx(t[::-1]) and t[10] == 1 and t[0] == pytest.approx(0)
+
+
+def test_long_series_are_cut_by_position(spark, monkeypatch):
+    from sigmaframe import schema
+    from sigmaframe.operators import radar, reduce
+
+    x = np.random.default_rng(6).normal(size=500)
+    df = signal(spark, [x, x[:3], x[:41]])
+    run = {"fir": lambda: D.fir(df, ["series"], [0.5, -1.0, 2.0]), "ca": lambda: radar.ca_cfar(df, ["series"], 1, 3, 2.0), "os": lambda: radar.os_cfar(df, ["series"], 1, 3, 2, 2.0), "scan": lambda: reduce.prefix_sum(df, ["series"])}
+    whole = {k: sorted(map(tuple, f().collect())) for k, f in run.items()}
+    monkeypatch.setattr(schema, "PIECE", 10)
+    run["scan"] = lambda: reduce.prefix_sum(df, ["series"], length=10)
+    for k, f in run.items():
+        got = sorted(map(tuple, f().collect()))
+        assert len(got) == len(whole[k]) and np.allclose(np.array(got, float), np.array(whole[k], float)), k
