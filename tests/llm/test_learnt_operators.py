@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from foreign_pages import PAGES
@@ -90,6 +91,13 @@ def test_labeller_on_unseen_layouts():
     assert html.main_texts(model, [PAGE, None, "", PAGE]) == [want, "", "", want]
 
 
+def test_given_pages_give_their_articles():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    want = ["\n\n".join(b.text for b in html.readable(p) if "^article" in b.path) for p in pages]
+    got = html.main_texts(html.Labeller(html.trained()), pages)
+    assert sum(a == b for a, b in zip(got, want)) >= 0.99 * len(pages) > 0
+
+
 def test_extraction_keeps_every_row(spark):
     rows = [(1, "u", PAGE), (2, None, None), (2, "x", ""), (None, "y", "<div>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -129,6 +137,14 @@ def test_toxicity_on_held_out_texts(spark):
     assert left == {k for k, r in got.items() if not r.predicted}
 
 
+def test_toxicity_on_given_labels(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.report(docs, marks).where("held_out").join(marks.select("doc_id", "toxic"), "doc_id").collect()
+    right = [r.predicted == r.toxic for r in scored]
+    caught = [r.predicted for r in scored if r.toxic == 1]
+    assert len(scored) > 500 and np.mean(right) >= 0.97 and np.mean(caught) >= 0.8
+
+
 def test_labels_of_held_out_rows_are_not_learnt(spark):
     import zlib
 
