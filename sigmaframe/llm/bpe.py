@@ -23,6 +23,7 @@ import os
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,7 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-from .textkit import small_batches
+from .textkit import small_batches, trim
 
 #: Marks the end of a word inside the matcher; it is no symbol of the byte alphabet.
 END = "￿"
@@ -39,6 +40,8 @@ END = "
 CACHE_WORDS = 400_000
 #: Pairs whose compatibility is kept; also only a cache.
 CACHE_PAIRS = 2_000_000
+#: Of each cache, the first entries (mostly frequent words) that a worker keeps between tasks.
+KEPT = 40_000
 
 #: Characters at which str.split() cuts and the vocabulary's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -54,11 +57,13 @@ def byte_alphabet() -> list[str]:
 class Encoder:
     """Tokens, merges and pair compatibility of one vocabulary file."""
 
-    def __init__(self, path: str, odd: str = ""):
+    def __init__(self, path: str, odd: tuple[tuple[int, int], ...] = ()):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.odd = regex.compile(odd) if odd else None
+        self.odd = np.zeros(sys.maxunicode + 1, bool)
+        for low, high in odd:
+            self.odd[low : high + 1] = True
         model, self.suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -185,6 +190,11 @@ class Encoder:
             self.chunks[chunk] = ids
         return ids
 
+    def rest(self) -> None:
+        """Between tasks, a worker keeps only the first entries of its caches."""
+        self.words, self.chunks, self.fits = (dict(islice(c.items(), KEPT)) for c in (self.words, self.chunks, self.fits))
+        trim()
+
     def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -198,7 +208,7 @@ class Encoder:
         return [bytes([self.byte_of[c] for c in w]).decode("utf-8") for w, _ in shown]
 
     def _plain(self, text: str) -> bytes:
-        if self.odd and not text.isascii() and self.odd.search(text):
+        if not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
             return b"".join(map(self._known, self.library_words(text)))
         text = self.normal(text)
         if ODD_SPACE.search(text):
@@ -228,8 +238,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def odd_characters(path: str) -> str:
-    """A pattern for the characters that Python and the library normalise or class differently, and for those unknown to Python."""
+def odd_characters(path: str) -> tuple[tuple[int, int], ...]:
+    """Ranges of the characters that Python and the library normalise or class differently, and for those unknown to Python."""
     enc = Encoder(path)
 
     def differs(text: str) -> bool:
@@ -252,11 +262,11 @@ def odd_characters(path: str) -> str:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else ""
+    return tuple(map(tuple, ranges))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, odd: str) -> Encoder:
+def encoder(path: str, odd: tuple[tuple[int, int], ...]) -> Encoder:
     return Encoder(path, odd)
 
 
@@ -273,6 +283,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), flat)], [*names, ids_col])
+        enc.rest()
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     return docs.mapInArrow(run, ", ".join([*kept, f"`{ids_col}` array<int>"]))
@@ -307,6 +318,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
                     flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), flat))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+        enc.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     cut = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Names, renamed, small_batches
+from .textkit import Names, renamed, small_batches, trim
 
 #: Most labelled rows that the classifier is fitted on; above it, those with the smallest hashes of their ids.
 MOST_ROWS = 5000
@@ -202,6 +202,8 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> t
             else:
                 p = np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+        del dictionaries, model
+        trim()
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
     return plain.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"])), own
