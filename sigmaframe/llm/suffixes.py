@@ -205,8 +205,9 @@ def follow(blocks: DataFrame, answers: DataFrame, buckets: int, width: int, piec
                 if found is None:
                     continue
                 (route, first, count, least, most), (string, document, start) = found
-                places = b"".join(x.astype("<i4").tobytes() for x in (string, document, start))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((0, row["block"], 0, 0, None, None, None, None, None, pack(np.frombuffer(places, np.uint8))), kinds)], names)
+                # a place's document follows from its start
+                places = np.concatenate([np.diff(string, prepend=0), start]).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((0, row["block"], 0, 0, None, None, None, None, None, pack(places, 3)), kinds)], names)
                 at = _slices(route, buckets)
                 for k in range(buckets):
                     for a in range(at[k], at[k + 1], 200_000):
@@ -214,7 +215,7 @@ def follow(blocks: DataFrame, answers: DataFrame, buckets: int, width: int, piec
                         text = pack(_gather(texts.data, first[a:b], count[a:b] + width - 1), 6)
                         # 32 bits of a hash keep its strings together within a bucket
                         short = ((route[a:b] << U64(bits)) >> U64(32)).astype("<u4")
-                        out = (1, row["block"], k, int(a), short.tobytes(), pack(count[a:b].astype("<i4")), pack(least[a:b]), pack(most[a:b]), text, None)
+                        out = (1, row["block"], k, int(a), short.tobytes(), pack(count[a:b].astype("<i4")), pack(least[a:b]), pack(most[a:b] - least[a:b]), text, None)
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds)], names)
                 del ids, texts, found, route, first, count, least, most, string, document, start, places
                 trim()
@@ -256,6 +257,7 @@ def repeats(strings: DataFrame, width: int, sorted_bytes: int = SORTED_BYTES) ->
         owner = np.repeat(np.arange(len(rows)), [len(x) for x in routes])
         number = np.concatenate([np.arange(len(x)) + r["low"] for x, r in zip(routes, rows)])
         least, most = (np.concatenate([unpack(r[c], "<i8") for r in rows]) for c in ("least", "most"))
+        most = most + least
         data = np.concatenate([unpack(r["text"], np.uint8) for r in rows])
         place = np.cumsum(size) - size
         order = np.argsort(route, kind="stable")
@@ -302,7 +304,8 @@ def _covered(texts: Texts, ids: np.ndarray, places: bytes | None, found: list[by
     """Which bytes of a block are to be removed."""
     if places is None or not found:
         return np.zeros(len(texts.data), bool)
-    string, document, start = unpack(places, "<i4").reshape(3, -1).astype(np.int64)
+    string, start = unpack(places, "<i4").reshape(2, -1).astype(np.int64)
+    string, document = np.cumsum(string), texts.owner(start)
     at = np.searchsorted(string, np.arange(string[-1] + 2))
     which, low, high, earliest = np.concatenate([unpack(blob, "<i8").reshape(4, -1) for blob in found], 1)
     change = np.zeros(len(texts.data) + 1, np.int32)
