@@ -6,6 +6,9 @@ gives exactly these two tokens again. When nothing fits, the last token is short
 is ruled out at most once, so the work is linear in the word's length, and the accepted sequence is
 the one that applying the merges in order would give.
 
+The new words of many texts are encoded together: the matcher reads them once, and each step (accept,
+shorten or go back) is taken for all of them at once in NumPy. Long words are encoded one by one.
+
 Texts are normalised and cut into words here, with Python's tables, but for texts with one of the
 characters for which these tables and the tokenizer library's differ (another version of Unicode):
 their words come from the library's normaliser and cutter. These characters are found by trying all.
@@ -19,11 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import operator
 import os
 import sys
 import unicodedata
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, compress, islice, repeat
 
 import ahocorasick
 import numpy as np
@@ -43,6 +47,9 @@ CACHE_PAIRS = 2_000_000
 #: Of each cache, the first entries (mostly frequent words) that a worker keeps between tasks.
 KEPT = 40_000
 
+#: Symbols of a word that is encoded together with others, at most; characters of texts whose words are gathered, about; and places for the verdicts on pairs of them.
+TOGETHER, GATHERED, PLACES = 64, 1 << 18, 1 << 18
+
 #: Characters at which str.split() cuts and the vocabulary's pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -91,7 +98,29 @@ class Encoder:
         by_shape = {s: k for k, s in enumerate(self.shape)}
         for k, s in enumerate(self.shape):
             self.shorter[k] = next((by_shape[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_shape), -1)
+        self.lengths, self.shorter_of, self.left_of, self.right_of = (np.array(x, np.int64) for x in (self.length, [self.shorter[k] for k in range(len(order))], self.left, self.right))
+        self.id_of = np.array(self.ids, "<u4")
+        codes = np.array([a * len(order) + b for a, b in self.joined], np.int64)
+        by_code = np.argsort(codes)
+        self.pair_codes, self.pair_ranks = codes[by_code], np.array(list(self.joined.values()), np.int64)[by_code]
+        #: At a pair's place, twice its code and its verdict; a pair that comes to a taken place takes it over.
+        self.verdicts = np.full(PLACES, -1, np.int64)
         self.alphabet = byte_alphabet()
+        # matches of one and two symbols are looked up by the symbols' numbers, so that the matcher of words read together only reports longer ones
+        symbols = sorted({c for t in self.shape for c in t} | set(self.alphabet) | {END})
+        self.symbol = np.zeros(ord(max(symbols)) + 1, np.int64)
+        self.symbol[[ord(c) for c in symbols]] = np.arange(len(symbols))
+        self.singles, self.doubles = np.full(len(symbols), -1, np.int64), np.full(len(symbols) ** 2, -1, np.int32)
+        self.longer = ahocorasick.Automaton()
+        for k, s in enumerate(self.shape):
+            at = self.symbol[[ord(c) for c in s]] if len(s) < 3 else ()
+            if len(s) == 1:
+                self.singles[at[0]] = k
+            elif len(s) == 2:
+                self.doubles[at[0] * len(symbols) + at[1]] = k
+            else:
+                self.longer.add_word(s, k)
+        self.longer.make_automaton()
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_start = os.path.commonprefix(list(self.special))
@@ -134,9 +163,91 @@ class Encoder:
             else:
                 return True
 
+    def _compatible_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible() of many pairs."""
+        code = a * len(self.ids) + b
+        place = ((code * 0x9E3779B1) >> 13) % PLACES
+        known = self.verdicts[place]
+        fits = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != code)
+        if len(new):
+            fits[new] = self._undone(a[new], b[new])
+            self.verdicts[place[new]] = 2 * code[new] + fits[new]
+        return fits
+
+    def _undone(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_compatible() of many pairs."""
+        size = len(self.ids)
+        fits, live, bound = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), size)
+        while len(live):
+            code = a * size + b
+            at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+            across = (self.pair_codes[at] == code) & (self.pair_ranks[at] < bound)
+            fits[live[across]] = False
+            in_a, in_b, a_first = self.right_of[a] != a, self.left_of[b] != b, a > b
+            undo_a = in_a & (a_first | ~in_b)
+            bound = np.where(undo_a, a, b + 1)
+            a, b = np.where(undo_a, self.right_of[a], a), np.where(undo_a, b, self.left_of[b])
+            more = np.flatnonzero(~across & (in_a | in_b))
+            live, a, b, bound = live[more], a[more], b[more], bound[more]
+        return fits
+
+    def _shown(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode("utf-8")])
+
+    def words_together(self, words: list[str]) -> list[bytes]:
+        """word() of many words."""
+        shown = [self._shown(w) + END for w in words]  # where it isn't a word's mark, it keeps words apart
+        alone = {k: self.word(words[k]) for k, s in enumerate(shown) if len(s) > TOGETHER}
+        if alone:
+            rest = iter(self.words_together([w for k, w in enumerate(words) if k not in alone]))
+            return [alone[k] if k in alone else next(rest) for k in range(len(words))]
+        if not words:
+            return []
+        size = np.fromiter(map(len, shown), np.int64, len(shown))
+        at = np.cumsum(size) - size
+        end = at + size - (0 if self.suffix else 1)
+        text = "".join(shown)
+        symbols = self.symbol[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        longest = np.full(len(text) + 1, -1, np.int64)
+        longest[:-1] = self.singles[symbols]
+        double = self.doubles[symbols[:-1] * len(self.singles) + symbols[1:]]
+        longest[:-2] = np.where(double >= 0, double, longest[:-2])
+        found = np.fromiter(chain.from_iterable(self.longer.iter(text)) if len(self.longer) else (), np.int64).reshape(-1, 2)
+        # matches come by their ends, so the longest that starts at a position is written last
+        longest[found[:, 0] + 1 - self.lengths[found[:, 1]]] = found[:, 1]
+        barred = np.zeros(len(text) + 1, bool)
+        if self.suffix:
+            barred[end - 1] = True  # the mark belongs to the last symbol
+        out, depth, token, live = np.zeros((len(words), int(size.max())), np.int64), np.zeros(len(words), np.int64), longest[at], np.arange(len(words))
+        while len(live):
+            here, trying, deep = at[live], token[live], depth[live]
+            some = trying >= 0
+            to = np.where(some, here + self.lengths[trying], here)
+            good = some & ~barred[to]
+            asked = np.flatnonzero(good & (deep > 0))
+            good[asked] = self._compatible_pairs(out[live[asked], deep[asked] - 1], trying[asked])
+            k = np.flatnonzero(good)
+            w = live[k]
+            out[w, deep[k]], depth[w], at[w], token[w] = trying[k], deep[k] + 1, to[k], longest[to[k]]
+            k = np.flatnonzero(some & ~good)
+            token[live[k]] = self.shorter_of[trying[k]]
+            k = np.flatnonzero(~some)
+            if len(k):
+                w = live[k]
+                if not deep[k].all():
+                    raise ValueError(f"no encoding of {words[w[deep[k].argmin()]]!r}")
+                barred[here[k]] = True
+                before = out[w, deep[k] - 1]
+                depth[w], at[w], token[w] = deep[k] - 1, here[k] - self.lengths[before], self.shorter_of[before]
+            live = live[at[live] < end[live]]
+        ids = self.id_of[out[np.arange(out.shape[1]) < depth[:, None]]].tobytes()
+        cut = [0, *(4 * np.cumsum(depth)).tolist()]
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
     def word(self, word: str) -> bytes:
         """The ids of one pre-tokenised word, as little-endian unsigned 32-bit integers."""
-        text = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode("utf-8")])
+        text = self._shown(word)
         n = len(text)
         if self.suffix:
             text += END
@@ -179,20 +290,26 @@ class Encoder:
             ids = self.words[word] = self.word(word)
         return ids
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a run of text without white space."""
-        if chunk.isalpha():
-            return self._known(chunk)
-        ids = b"".join([self._known(w) for w in self.pattern.findall(chunk)])
-        if len(chunk) < 64:
-            if len(self.chunks) >= CACHE_WORDS:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
+    def _made(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of runs of text without white space that aren't known, which are kept; a run of letters is a word."""
+        cut = {c: self.pattern.findall(c) for c in chunks if not c.isalpha()}
+        need = {w for ws in cut.values() for w in ws}
+        letters = set(filter(str.isalpha, need))
+        ids = {w: known for cache, of in ((self.chunks, letters), (self.words, need - letters)) for w in of if (known := cache.get(w)) is not None}
+        new = list(chunks.difference(cut) | {w for w in need if w not in ids})
+        fresh = dict(zip(new, self.words_together(new)))
+        ids |= fresh
+        runs = {c: b"".join([ids[w] for w in ws]) for c, ws in cut.items()}
+        made = fresh | runs
+        for cache, most, entries in ((self.words, CACHE_WORDS, {w: fresh[w] for w in need - letters if w in fresh}), (self.chunks, 2 * CACHE_WORDS, {c: i for c, i in made.items() if len(c) < 64 and (c in runs or c in letters or c in chunks)})):
+            if len(cache) + len(entries) > most:
+                cache.clear()
+            cache.update(entries)
+        return made
 
     def rest(self) -> None:
         """Between tasks, a worker keeps only the first entries of its caches."""
-        self.words, self.chunks, self.fits = (dict(islice(c.items(), KEPT)) for c in (self.words, self.chunks, self.fits))
+        self.words, self.chunks, self.fits = (dict(islice(c.items(), n)) for c, n in ((self.words, KEPT), (self.chunks, 2 * KEPT), (self.fits, KEPT)))
         trim()
 
     def normal(self, text: str) -> str:
@@ -207,23 +324,50 @@ class Encoder:
         shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes([self.byte_of[c] for c in w]).decode("utf-8") for w, _ in shown]
 
-    def _plain(self, text: str) -> bytes:
+    def _chunks(self, text: str) -> list[str] | None:
+        """A text's runs without white space, normalised; None where these don't give its words."""
         if not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
-            return b"".join(map(self._known, self.library_words(text)))
+            return None
         text = self.normal(text)
-        if ODD_SPACE.search(text):
-            return b"".join(map(self._known, self.pattern.findall(text)))
-        chunks = text.split()
-        ids = [self.words.get(c) or self.chunks.get(c) or self._chunk(c) for c in chunks]
-        return b"".join(ids)
+        return None if ODD_SPACE.search(text) else text.split()
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special strings."""
+        cut = [self._chunks(t) for t in texts]
+        known = [list(map(self.chunks.get, c or ())) for c in cut]
+        missing = [list(compress(range(len(ids)), map(operator.is_, ids, repeat(None)))) for ids in known]
+        made = self._made({c[k] for c, at in zip(cut, missing) for k in at})
+        out = []
+        for text, chunks, ids, at in zip(texts, cut, known, missing):
+            if chunks is None:
+                odd = not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any()
+                out.append(b"".join(map(self._known, self.library_words(text) if odd else self.pattern.findall(self.normal(text)))))
+            else:
+                for k in at:
+                    ids[k] = made[chunks[k]]
+                out.append(b"".join(ids))
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; the vocabulary's special strings become their ids, as in the library."""
-        if not text:
-            return b""
-        if self.special_cut is None or self.special_start not in text:
-            return self._plain(text)
-        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in self.special_cut.split(text) if p)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts."""
+        out, low = [], 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size + len(texts[high] or "") <= GATHERED):
+                size += len(texts[high] or "")
+                high += 1
+            out += self._gathered(texts[low:high])
+            low = high
+        return out
+
+    def _gathered(self, texts: list[str | None]) -> list[bytes]:
+        parts = [None if not t or self.special_cut is None or self.special_start not in t else [p for p in self.special_cut.split(t) if p] for t in texts]
+        plain = iter(self._plain([p for t, ps in zip(texts, parts) for p in ([t or ""] if ps is None else [p for p in ps if p not in self.special])]))
+        return [next(plain) if ps is None else b"".join([np.array([self.special[p]], "<u4").tobytes() if p in self.special else next(plain) for p in ps]) for ps in parts]
 
     def decode(self, ids: bytes) -> bytes:
         """The tokens' strings joined by spaces, gathered from one byte table by offsets."""
@@ -279,7 +423,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
     def run(batches):
         enc = encoder(path, odd)
         for batch in batches:
-            ids = [enc.encode(t) for t in batch.column(names.index(text_col)).to_pylist()]
+            ids = enc.encode_all(batch.column(names.index(text_col)).to_pylist())
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), flat)], [*names, ids_col])
@@ -312,8 +456,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         enc = encoder(path, odd)
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = enc.encode(text)
+            for ids in enc.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(enc.decode(ids)).hexdigest())

@@ -40,8 +40,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
             for low in range(0, batch.num_rows, 250):
                 part = batch.slice(low, 250)
                 owner, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    coded = enc.encode(text) + closing
+                for k, coded in enumerate(enc.encode_all(part.column(1).to_pylist())):
+                    coded += closing
                     at = 0
                     for size in binary_lengths(len(coded) // 4, longest):
                         own = coded[4 * at : 4 * (at + size)]

@@ -67,6 +67,26 @@ def test_greedy_failures_backtrack():
         assert np.frombuffer(ours.word(w), "<u4").tolist() == library.encode(w, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together(texts, monkeypatch):
+    """The words of many texts are found in a few readings of the matcher, not one by one."""
+    ours, library = bpe.Encoder(PATH, bpe.odd_characters(PATH)), Tokenizer.from_file(PATH)
+    alone = []
+    monkeypatch.setattr(bpe.Encoder, "word", lambda self, w, one=bpe.Encoder.word: alone.append(w) or one(self, w))
+    r = random.Random(6)
+    made = ["".join(r.choice("etaoinshrdluüß'.#") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    more = [" ".join(made[k : k + 30]) for k in range(0, 3000, 30)]
+    for _ in range(2):
+        for some in (texts, more, more[::-1]):
+            assert ours.encode_all(some) == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert not [w for w in alone if len(w.encode()) < bpe.TOGETHER and w in made]
+    assert ours.words_together(made) == [ours.word(w) for w in made]
+    monkeypatch.setattr(bpe, "GATHERED", 100)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "PLACES", 7)
+    ours = bpe.Encoder(PATH, bpe.odd_characters(PATH))
+    assert ours.encode_all(more) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in more]
+
+
 def test_encoding_columns(spark, texts):
     df = frame(spark, texts[:30])
     coded = bpe.encode_column(df, PATH)
