@@ -6,12 +6,16 @@ gives exactly these two tokens again. When nothing fits, the last token is short
 is ruled out at most once, so the work is linear in the word's length, and the accepted sequence is
 the one that applying the merges in order would give.
 
-The new words of many texts are encoded together: the matcher reads them once, and each step (accept,
-shorten or go back) is taken for all of them at once in NumPy. Long words are encoded one by one.
+Texts are gathered to about a million characters and cut into words together in NumPy, by a table of
+every character's kind; Arrow numbers the words, so each different word of a gathering is looked up
+once, and the texts' ids are gathered by the words' numbers. The new words are encoded together too: the
+matcher reads them once, and each step (accept, shorten or go back) is taken for all of them at once in
+NumPy. Long words are encoded one by one.
 
 Texts are normalised and cut into words here, with Python's tables, but for texts with one of the
 characters for which these tables and the tokenizer library's differ (another version of Unicode):
 their words come from the library's normaliser and cutter. These characters are found by trying all.
+Vocabularies with another pattern than that of `PATTERN` have their texts cut by the pattern itself.
 
 Nulls and empty texts have no tokens; their digests are those of zero bytes. Repeated rows are encoded
 each on its own, very long texts as a whole. Ties can't occur: a text has one encoding. Extra columns,
@@ -22,12 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import operator
 import os
 import sys
 import unicodedata
 from functools import lru_cache
-from itertools import chain, compress, islice, repeat
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -45,13 +48,15 @@ CACHE_WORDS = 400_000
 #: Pairs whose compatibility is kept; also only a cache.
 CACHE_PAIRS = 2_000_000
 #: Of each cache, the first entries (mostly frequent words) that a worker keeps between tasks.
-KEPT = 40_000
+KEPT = 100_000
 
-#: Symbols of a word that is encoded together with others, at most; characters of texts whose words are gathered, about; and places for the verdicts on pairs of them.
-TOGETHER, GATHERED, PLACES = 64, 1 << 18, 1 << 18
+#: Symbols of a word that is encoded together with others, at most; such words at a time; characters of texts whose words are gathered, about; and places for the verdicts on pairs of them.
+TOGETHER, AT_ONCE, GATHERED, PLACES = 64, 20_000, 1 << 20, 1 << 18
 
-#: Characters at which str.split() cuts and the vocabulary's pattern does not.
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: The pattern of words that the table of kinds stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+OTHER, SPACE, LETTER, NUMBER = range(4)
+WHITE = regex.compile(r"\s")
 
 
 def byte_alphabet() -> list[str]:
@@ -61,6 +66,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every character in PATTERN."""
+    every, out = "".join(map(chr, range(sys.maxunicode + 1))), np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for kind, of in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for found in regex.finditer(of, every):
+            out[found.start() : found.end()] = kind
+    return out
+
+
 class Encoder:
     """Tokens, merges and pair compatibility of one vocabulary file."""
 
@@ -126,8 +141,8 @@ class Encoder:
         self.special_start = os.path.commonprefix(list(self.special))
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.kinds = kinds() if self.pattern.pattern == PATTERN else None
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
         shown = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.special.items()}}
         pieces = [(shown.get(i, "") + " ").encode() for i in range(max(shown) + 1)]
         self.table = np.frombuffer(b"".join(pieces), np.uint8)
@@ -285,31 +300,19 @@ class Encoder:
     def _known(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            ids = self.words[word] = self.word(word)
+            ids = self.word(word)
+            self._keep([(word, ids)])
         return ids
 
-    def _made(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of runs of text without white space that aren't known, which are kept; a run of letters is a word."""
-        cut = {c: self.pattern.findall(c) for c in chunks if not c.isalpha()}
-        need = {w for ws in cut.values() for w in ws}
-        letters = set(filter(str.isalpha, need))
-        ids = {w: known for cache, of in ((self.chunks, letters), (self.words, need - letters)) for w in of if (known := cache.get(w)) is not None}
-        new = list(chunks.difference(cut) | {w for w in need if w not in ids})
-        fresh = dict(zip(new, self.words_together(new)))
-        ids |= fresh
-        runs = {c: b"".join([ids[w] for w in ws]) for c, ws in cut.items()}
-        made = fresh | runs
-        for cache, most, entries in ((self.words, CACHE_WORDS, {w: fresh[w] for w in need - letters if w in fresh}), (self.chunks, 2 * CACHE_WORDS, {c: i for c, i in made.items() if len(c) < 64 and (c in runs or c in letters or c in chunks)})):
-            if len(cache) + len(entries) > most:
-                cache.clear()
-            cache.update(entries)
-        return made
+    def _keep(self, fresh: list[tuple[str, bytes]]) -> None:
+        """Words and their ids go to the cache, but for long words."""
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            self.words.clear()
+        self.words.update(islice(((w, i) for w, i in fresh if len(w) <= TOGETHER), CACHE_WORDS))
 
     def rest(self) -> None:
         """Between tasks, a worker keeps only the first entries of its caches."""
-        self.words, self.chunks, self.fits = (dict(islice(c.items(), n)) for c, n in ((self.words, KEPT), (self.chunks, 2 * KEPT), (self.fits, KEPT)))
+        self.words, self.fits = (dict(islice(c.items(), KEPT)) for c in (self.words, self.fits))
         trim()
 
     def normal(self, text: str) -> str:
@@ -324,29 +327,74 @@ class Encoder:
         shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes([self.byte_of[c] for c in w]).decode("utf-8") for w, _ in shown]
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """A text's runs without white space, normalised; None where these don't give its words."""
-        if not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
-            return None
-        text = self.normal(text)
-        return None if ODD_SPACE.search(text) else text.split()
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words of normalised texts, the number of each word of the texts among these, and how many words each text has."""
+        if self.kinds is None:
+            cut, number = [self.pattern.findall(t) for t in texts], {}
+            which = np.fromiter((number.setdefault(w, len(number)) for ws in cut for w in ws), np.int64)
+            return list(number), which, np.array([len(ws) for ws in cut], np.int64)
+        points = np.frombuffer(" ".join([*texts, "", ""]).encode("utf-32-le"), "<u4")
+        kind = self.kinds[points]
+        first = np.ones(len(points), bool)
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
+        first |= kind == NUMBER
+        # an apostrophe that begins a word takes one of its endings along, and no more letters
+        quote = np.flatnonzero(first & (points == ord("'")))
+        one, two = points[quote + 1], points[quote + 2]
+        short = quote[np.isin(one, [ord(c) for c in "stmd"])]
+        long = quote[(((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))]
+        first[short + 1] = first[long + 1] = False
+        first[short + 2] = first[long + 3] = True
+        inside = kind != SPACE
+        first &= inside
+        count = np.diff(np.searchsorted(np.flatnonzero(first), np.cumsum([0, *(len(t) + 1 for t in texts)])))
+        kept = points[inside]
+        at = 4 * np.append(np.flatnonzero(first[inside]), len(kept)).astype(np.int64)
+        if len(at) == 1:
+            return [], np.zeros(0, np.int64), count
+        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(kept)]).dictionary_encode()
+        _, where, what = numbered.dictionary.buffers()
+        bound = (np.frombuffer(where, np.int64)[: len(numbered.dictionary) + 1] // 4).tolist()
+        shown = what.to_pybytes()[: 4 * bound[-1]].decode("utf-32-le")
+        return [shown[a:b] for a, b in zip(bound, bound[1:])], numbered.indices.to_numpy(), count
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of normalised texts."""
+        words, which, count = self._cut(texts)
+        ids = list(map(self.words.get, words))
+        new = [k for k, known in enumerate(ids) if known is None]
+        for low in range(0, len(new), AT_ONCE):
+            some = new[low : low + AT_ONCE]
+            for k, made in zip(some, self.words_together([words[k] for k in some])):
+                ids[k] = made
+        self._keep([(words[k], ids[k]) for k in new])
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, size = (np.cumsum(size) - size)[which], size[which]
+        end = np.cumsum(size)
+        coded = flat[np.repeat(start - (end - size), size) + np.arange(size.sum())].tobytes()
+        bound = (4 * np.append(0, end)[np.append(0, np.cumsum(count))]).tolist()
+        return [coded[a:b] for a, b in zip(bound, bound[1:])]
+
+    def _pieces(self, text: str) -> list[str]:
+        """A normalised text, cut at white space if it is long."""
+        out, low = [], 0
+        while self.kinds is not None and len(text) - low > GATHERED and (found := WHITE.search(text, low + GATHERED)):
+            out.append(text[low : found.start()])
+            low = found.start()
+        return [*out, text[low:]]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special strings."""
-        cut = [self._chunks(t) for t in texts]
-        known = [list(map(self.chunks.get, c or ())) for c in cut]
-        missing = [list(compress(range(len(ids)), map(operator.is_, ids, repeat(None)))) for ids in known]
-        made = self._made({c[k] for c, at in zip(cut, missing) for k in at})
-        out = []
-        for text, chunks, ids, at in zip(texts, cut, known, missing):
-            if chunks is None:
-                odd = not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any()
-                out.append(b"".join(map(self._known, self.library_words(text) if odd else self.pattern.findall(self.normal(text)))))
-            else:
-                for k in at:
-                    ids[k] = made[chunks[k]]
-                out.append(b"".join(ids))
-        return out
+        odd = [not t.isascii() and self.odd[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")].any() for t in texts]
+        normal = [self.normal(t) for t, o in zip(texts, odd) if not o]
+        size = sum(map(len, normal))
+        if size <= TOGETHER:
+            made = iter([b"".join(map(self._known, self.pattern.findall(t))) for t in normal])
+        elif size <= 2 * GATHERED:
+            made = iter(self._joined(normal))
+        else:
+            made = (b"".join([self._joined([p])[0] for p in self._pieces(t)]) for t in normal)
+        return [b"".join(map(self._known, self.library_words(t))) if o else next(made) for t, o in zip(texts, odd)]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; the vocabulary's special strings become their ids, as in the library."""

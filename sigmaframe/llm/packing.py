@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, odd_characters
-from .textkit import small_batches
+from .bpe import GATHERED, encoder, odd_characters
+from .textkit import small_batches, united
 
 SEQUENCE = 4096
 
@@ -36,11 +36,12 @@ def pieces(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text
 
     def run(batches):
         enc = encoder(path, odd)
-        for batch in batches:
+        for batch in united(batches, GATHERED):
+            coded_all = enc.encode_all(batch.column(1).to_pylist())
             for low in range(0, batch.num_rows, 250):
                 part = batch.slice(low, 250)
                 owner, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, coded in enumerate(enc.encode_all(part.column(1).to_pylist())):
+                for k, coded in enumerate(coded_all[low : low + 250]):
                     coded += closing
                     at = 0
                     for size in binary_lengths(len(coded) // 4, longest):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sigmaframe.llm import bpe, packing, quality, secrets, warc
-from sigmaframe.llm.textkit import HashArray, Texts
+from sigmaframe.llm.textkit import HashArray, Texts, united
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, " ", "a", "Hello, World's  don't 123", "<|endoftext|>x<|startoftext|>", "ΑΣ Σ ßİ", "日本語 テキスト😀", "aaaa" * 200, "\x1d\x85 x", "é é", "it's we'll I'd", "\n\n|--|$$$###"]
@@ -87,6 +88,56 @@ def test_new_words_are_encoded_together(texts, monkeypatch):
     assert ours.encode_all(more) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in more]
 
 
+def test_words_of_a_gathering_are_encoded_once(monkeypatch):
+    """Texts of a million characters are one reading of the matcher for all their new words."""
+    ours, library = bpe.Encoder(PATH, bpe.odd_characters(PATH)), Tokenizer.from_file(PATH)
+    calls = []
+    monkeypatch.setattr(bpe.Encoder, "words_together", lambda self, ws, all=bpe.Encoder.words_together: calls.append(len(ws)) or all(self, ws))
+    r = random.Random(8)
+    made = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(4, 9))) for _ in range(9000)]
+    some = [" ".join(r.choices(made, k=1000)) for _ in range(130)]
+    assert 3 << 18 < sum(map(len, some)) < 1 << 20
+    assert ours.encode_all(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert len(calls) == 1 and calls[0] <= len(set(made))
+    assert ours.encode_all(some[::-1]) == ours.encode_all(some)[::-1] and len(calls) == 1
+
+
+def test_cutting_equals_the_pattern(monkeypatch):
+    """The table of kinds gives the pattern's words (endings after apostrophes, digits, all kinds of space); long texts are cut at white space."""
+    ours = bpe.Encoder(PATH)
+    r = random.Random(12)
+    some = ["", " ", " " * 200, "'", "''s's'st're'r'ree 1'll'l 'v", "'ve" * 50, "x'", "\x1c\x1d'd\x85 　é'm", "½²٣1'2"]
+    some += ["".join(r.choice("''''strevmld1٣ é\n\x1d .!日😀") for _ in range(r.randint(0, 300))) for _ in range(2000)]
+    words, which, count = ours._cut(some)
+    assert [words[k] for k in which] == [w for t in some for w in ours.pattern.findall(t)]
+    assert count.tolist() == [len(ours.pattern.findall(t)) for t in some] and len(set(words)) == len(words)
+    assert [len(x) for x in ours._cut([" " * 99, ""])] == [0, 0, 2] and ours._joined([" " * 99, ""]) == [b"", b""]
+    long = " ".join(some)
+    want = ours.encode_all([long])
+    monkeypatch.setattr(bpe, "GATHERED", 90)
+    assert "".join(ours._pieces(long)) == long and max(map(len, ours._pieces(long))) < 600
+    assert ours.encode_all([long]) == want == [b"".join(ours.encode_all(some))]
+
+
+def test_another_pattern(tmp_path, texts):
+    """A vocabulary with another pattern than the table's."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"] = r"[\p{L}']+|[^\s\p{L}']+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    ours, library = bpe.Encoder(str(path), bpe.odd_characters(str(path))), Tokenizer.from_file(str(path))
+    assert ours.kinds is None
+    assert ours.encode_all(texts) == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_united_batches():
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(range(low, low + n), pa.int64())}) for low, n in ((0, 3), (3, 0), (3, 50), (53, 1), (54, 2))]
+    got = list(united(iter(batches), 200))
+    assert [b.num_rows for b in got] == [53, 3] and [k for b in got for k in b.column(0).to_pylist()] == list(range(56))
+    assert list(united(iter([]), 200)) == []
+
+
 def test_encoding_columns(spark, texts):
     df = frame(spark, texts[:30])
     coded = bpe.encode_column(df, PATH)
