@@ -71,10 +71,25 @@ def _transformed(one, norm: str | None = None):
     return run
 
 
-def fft(df: DataFrame, keys: Sequence[str], position: str = "i", inverse: bool = False, norm: str = "backward") -> DataFrame:
-    """Transform of (re, im) along position; the inverse divides by n, unless norm is "none"."""
+def fft(df: DataFrame, keys: Sequence[str], position: str = "i", inverse: bool = False, norm: str = "backward", size: int | None = None) -> DataFrame:
+    """Transform of (re, im) along position; the inverse divides by n, unless norm is "none".
+
+    With size, every series has that many points: absent positions are zeros, and positions beyond fold
+    onto position mod size. Without, its rows are its points, in order of position.
+    """
     one = (lambda x: np.fft.ifft(x) * (len(x) if norm == "none" else 1)) if inverse else np.fft.fft
-    return per_series(df, keys, position, ["re", "im"], _transformed(one), ["re", "im"])
+    if size is None:
+        return per_series(df, keys, position, ["re", "im"], _transformed(one), ["re", "im"])
+
+    def placed(at, re, im):
+        out = []
+        for k, a, b in zip(at, re, im):
+            full = np.zeros(size, complex)
+            np.add.at(full, k.astype(np.int64) % size, a + 1j * b)
+            out.append(one(full))
+        return [[x.real for x in out], [x.imag for x in out]]
+
+    return per_series(df.withColumn("_at", F.col(position).cast("double")), keys, position, ["_at", "re", "im"], placed, ["re", "im"])
 
 
 def rfft(df: DataFrame, keys: Sequence[str], position: str = "i", value: str = "v") -> DataFrame:
@@ -96,10 +111,13 @@ def irfft(df: DataFrame, keys: Sequence[str], n: int, position: str = "i") -> Da
     return per_series(df, keys, position, ["re", "im"], run, ["v"])
 
 
-def fft2(grid: DataFrame, inverse: bool = False, norm: str = "none") -> DataFrame:
-    """2-D transform of grids (g, d, r, re, im): along r, then along d."""
-    along = fft(grid, ["g", "d"], "r", inverse, norm)
-    return fft(along, ["g", "r"], "d", inverse, norm).select("g", "d", "r", "re", "im")
+def fft2(grid: DataFrame, inverse: bool = False, norm: str = "none", shape: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """2-D transform of grids (g, d, r, re, im): along r, then along d.
+
+    shape is the points along d and along r, as size of fft(); without it, a grid has the points of its rows.
+    """
+    along = fft(grid, ["g", "d"], "r", inverse, norm, shape[1])
+    return fft(along, ["g", "r"], "d", inverse, norm, shape[0]).select("g", "d", "r", "re", "im")
 
 
 def dft_join(df: DataFrame, keys: Sequence[str], n: int, position: str = "i", inverse: bool = False) -> DataFrame:

@@ -133,3 +133,20 @@ def test_long_series_are_cut_by_position(spark, monkeypatch):
     for k, f in run.items():
         got = sorted(map(tuple, f().collect()))
         assert len(got) == len(whole[k]) and np.allclose(np.array(got, float), np.array(whole[k], float)), k
+
+
+@pytest.mark.parametrize("inverse", [False, True])
+def test_fft2_of_a_shape(spark, inverse):
+    a = R.normal(size=(7, 9)) + 1j * R.normal(size=(7, 9))
+    rows = [(0, d, r, float(z.real), float(z.imag)) for (d, r), z in np.ndenumerate(a) if d not in (0, 3) and (d, r) != (2, 4)]
+    a[[0, 3]], a[2, 4] = 0, 0
+    folded = np.zeros((4, 12), complex)
+    np.add.at(folded, (np.arange(7) % 4,), np.pad(a, ((0, 0), (0, 3))))
+    df = spark.createDataFrame(rows, "g int, d int, r int, re double, im double")
+    for shape, whole in (((10, 16), np.pad(a, ((0, 3), (0, 7)))), ((4, 12), folded)):
+        got = np.zeros(shape, complex)
+        found = S.fft2(df, inverse, shape=shape).collect()
+        for x in found:
+            got[x.d, x.r] = x.re + 1j * x.im
+        want = np.fft.ifft2(whole) * whole.size if inverse else np.fft.fft2(whole)
+        assert len(found) == got.size and got == pytest.approx(want)
