@@ -130,29 +130,24 @@ def dft_join(df: DataFrame, keys: Sequence[str], n: int, position: str = "i", in
     return sums
 
 
-def doppler(pulses: DataFrame, size: int, taper: str | None = None) -> DataFrame:
+def doppler(pulses: DataFrame, size: int, taper: str | None = None, count: int | None = None) -> DataFrame:
     """Transform over the pulses p of each range cell r of grids (g, p, r, re, im), size points.
 
     More pulses than points fold onto p mod size, fewer are padded with zeros; no normalisation. With
-    taper, pulses are first weighted by a window over all pulses of their grid.
+    taper, pulses are first weighted by a window of count points, also where a grid has fewer pulses;
+    without count, by one over the pulses of their grid. Pulses beyond count keep their values.
     """
     x = pulses
     if taper is not None:
-        counts = pulses.groupBy(F.col("g").alias("_g")).agg((F.max("p") + 1).alias("_n"))
-        x = x.join(counts, F.col("g").eqNullSafe(F.col("_g")))
+        if count is None:
+            counts = pulses.groupBy(F.col("g").alias("_g")).agg((F.max("p") + 1).alias("_n"))
+            x = x.join(counts, F.col("g").eqNullSafe(F.col("_g")))
+        else:
+            x = x.withColumn("_n", F.lit(count))
         total = F.lit(0.0)
         for k, c in enumerate(COSINE_SUMS[taper]):
             total = total + F.lit((-1) ** k * c) * F.cos(2 * math.pi * k * F.col("p") / F.greatest(F.col("_n") - 1, F.lit(1)))
-        w = F.when(F.col("_n") == 1, 1.0).otherwise(total)
+        w = F.when((F.col("_n") == 1) | (F.col("p") >= F.col("_n")), 1.0).otherwise(total)
         x = x.select("g", "p", "r", (F.col("re") * w).alias("re"), (F.col("im") * w).alias("im"))
     folded = x.groupBy("g", "r", (F.col("p") % size).alias("d")).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-
-    def run(d, re, im):
-        out = []
-        for k, a, b in zip(d, re, im):
-            full = np.zeros(size, complex)
-            full[k.astype(int)] = a + 1j * b
-            out.append(np.fft.fft(full))
-        return [[x.real for x in out], [x.imag for x in out]]
-
-    return per_series(folded.withColumn("_d", F.col("d").cast("double")), ["g", "r"], "d", ["_d", "re", "im"], run, ["re", "im"]).select("g", "d", "r", "re", "im")
+    return fft(folded, ["g", "r"], "d", size=size).select("g", "d", "r", "re", "im")

@@ -150,3 +150,13 @@ def test_fft2_of_a_shape(spark, inverse):
             got[x.d, x.r] = x.re + 1j * x.im
         want = np.fft.ifft2(whole) * whole.size if inverse else np.fft.fft2(whole)
         assert len(found) == got.size and got == pytest.approx(want)
+
+
+def test_doppler_window_of_a_count(spark):
+    z = R.normal(size=(6, 2)) + 1j * R.normal(size=(6, 2))
+    rows = [(0, p, r, float(v.real), float(v.imag)) for (p, r), v in np.ndenumerate(z)]
+    df = spark.createDataFrame(rows, "g int, p int, r int, re double, im double")
+    for count, w in ((10, np.hamming(10)[:6]), (4, np.append(np.hamming(4), [1, 1])), (1, np.ones(6)), (None, np.hamming(6))):
+        got = S.doppler(df, 8, "hamming", count).collect()
+        want = np.fft.fft(z * w[:, None], 8, axis=0)
+        assert len(got) == 16 and all(complex(x.re, x.im) == pytest.approx(want[x.d, x.r]) for x in got)
