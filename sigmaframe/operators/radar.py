@@ -131,12 +131,13 @@ def ca_cfar(df: DataFrame, keys: Sequence[str], guard: int, reference: int, fact
     """Cell-averaging detector: threshold factor * mean of the training cells at distance guard + 1 to guard + reference.
 
     Cells outside the series do not count; without training cells the threshold is 0. Detection is value > threshold.
+    The sum is multiplied before it is divided, as in SQL from left to right: the quotient's rounding decides at ties.
     """
     frames = _frames(Window.partitionBy(*keys, "_piece").orderBy(position), guard, reference) if reference > 0 else ()
     total, count = F.lit(0.0), F.lit(0)
     for f in frames:
         total, count = total + F.coalesce(F.sum(value).over(f), F.lit(0.0)), count + F.count(value).over(f)
-    threshold = F.coalesce(F.lit(float(factor)) * F.try_divide(total, count), F.lit(0.0))
+    threshold = F.coalesce(F.try_divide(F.lit(float(factor)) * total, count), F.lit(0.0))
     cut = in_pieces(df.select(*keys, position, value), position, guard + reference, guard + reference)
     x = cut.select(*keys, position, "_own", F.col(value).alias("v"), threshold.alias("threshold")).where("_own").drop("_own")
     return x.withColumn("det", (F.col("v") > F.col("threshold")).cast("int"))

@@ -62,6 +62,13 @@ def test_cfar_thresholds(spark):
         assert os[i] == pytest.approx(2 * sorted(cell)[min(4, len(cell) - 1)])
 
 
+def test_cfar_tie_is_no_detection(spark):
+    """At position 2 the five training cells sum up to 130.45: three times their mean is 78.27, the value there."""
+    x = [10.0, 0.0, 78.27, 0.0, 30.0, 30.45, 30.0, 30.0, 0.0, 0.0]
+    found = {r.i: r for r in X.ca_cfar(signal(spark, [x]), ["series"], 1, 4, 3).collect()}
+    assert (found[2].threshold, found[2].det) == (78.27, 0)
+
+
 def test_two_dimensional_detector(spark):
     a = np.full((16, 16), 0.1)
     a[4, 9] = a[12, 2] = 10
